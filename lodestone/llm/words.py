@@ -17,6 +17,9 @@ _LOWER = _PLAIN.copy()
 _LOWER[65:91] = _PLAIN[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: For words of letters only: every ASCII byte that is no letter parts words.
+NOT_LETTERS = np.arange(256) < 128
+NOT_LETTERS[65:91] = NOT_LETTERS[97:123] = False
 _BASE = 0x9DDFEA08EB382D69
 _INVERSE = pow(_BASE, -1, 2**64)
 _POW: list[np.ndarray] = []
@@ -41,7 +44,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """All words of a batch: hash, start and end (in `data`), and per text the range offset[i]:offset[i+1]."""
 
-    def __init__(self, texts: list[bytes | None], lower: bool = False):
+    def __init__(self, texts: list[bytes | None], lower: bool = False, space: np.ndarray = _SPACE):
         self.data = b"\n".join(t or b"" for t in texts) + b"\n"
         lengths = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
         begins = np.concatenate(([0], np.cumsum(lengths + 1)))
@@ -55,7 +58,7 @@ class Words:
                     nxt = [x for s in (b" ", b"\n") if (x := self.data.find(s, to)) >= 0]
                     cut = min(nxt) if nxt else n - 1
                 to = cut + 1
-            h, s, e = self._segment(np.frombuffer(self.data, np.uint8, to - at, at), _LOWER if lower else _PLAIN)
+            h, s, e = self._segment(np.frombuffer(self.data, np.uint8, to - at, at), _LOWER if lower else _PLAIN, space)
             hashes.append(h)
             starts.append(s + at)
             ends.append(e + at)
@@ -68,8 +71,8 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), self.count)
 
     @staticmethod
-    def _segment(b: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        edge = np.diff(np.concatenate(([True], _SPACE[b], [True])).view(np.int8))
+    def _segment(b: np.ndarray, codes: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        edge = np.diff(np.concatenate(([True], space[b], [True])).view(np.int8))
         s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         power, inverse = _powers(len(b) + 1)
         total = np.concatenate(([U(0)], np.cumsum(codes[b] * power[: len(b)])))
