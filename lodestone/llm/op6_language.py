@@ -50,23 +50,28 @@ class Distinct:
         b[inner] = np.frombuffer(w.data, np.uint8)[(np.repeat(start, total) + at - 1)[inner]]
         word = np.repeat(np.arange(len(size)), total)
         code = np.zeros(len(b), U)
-        features, owners = [(self.hash % U(DIMS)).astype(np.int64)], [np.arange(len(size))]
+        #: (word, feature) in the order of words: the lexicon, then the n-grams of each length
+        self.parts = [(np.arange(len(size), dtype=np.int32), (self.hash % U(DIMS)).astype(np.int32))]
         for n in range(1, 5):
             code = code[: len(b) - n + 1] * U(257) + b[n - 1 :] + U(1)
-            same = word[: len(code)] == word[n - 1 :]
             if n > 1:
-                features.append((mix(code[same] + U(n)) % U(DIMS)).astype(np.int64))
-                owners.append(word[: len(code)][same])
-        feature, owner = np.concatenate(features), np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        self.feature, self.owner = feature[order], owner[order]
-        self.offset = np.searchsorted(self.owner, np.arange(len(size)))
-        self.n = np.diff(np.append(self.offset, len(self.feature)))
+                same = word[: len(code)] == word[n - 1 :]
+                self.parts.append((word[: len(code)][same].astype(np.int32), (mix(code[same] + U(n)) % U(DIMS)).astype(np.int32)))
+        self.n = 1 + sum(np.maximum(total - n + 1, 0) for n in range(2, 5))
 
     def emissions(self, weights: np.ndarray) -> np.ndarray:
-        if not len(self.hash):
-            return np.zeros((0, weights.shape[1]), weights.dtype)
-        return np.add.reduceat(weights[self.feature], self.offset, axis=0) / np.sqrt(self.n)[:, None].astype(weights.dtype)
+        out = np.zeros((len(self.hash), weights.shape[1]), weights.dtype)
+        for word, feature in self.parts:
+            if len(word):
+                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                out[word[first]] += np.add.reduceat(weights[feature], first, axis=0)
+        return out / np.sqrt(self.n)[:, None].astype(weights.dtype)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """All features in the order of words, and where each word's begin."""
+        owner = np.concatenate([w for w, _ in self.parts])
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate([f for _, f in self.parts])[order], np.searchsorted(owner[order], np.arange(len(self.hash)))
 
 
 def words_of(texts: list[str | None]) -> Words:
@@ -118,6 +123,7 @@ def fit(texts: list[str], labels: list[str], sequences: int = 4000, length: int
     w = words_of(texts)
     y = np.array([langs.index(v) for v in labels])
     d = Distinct(w)
+    feature, offset = d.rows()
     rng = np.random.default_rng(seed)
     docs = [np.flatnonzero((y == j) & (w.count > 0)) for j in range(k)]
     docs_of = [j for j in range(k) if len(docs[j])]
@@ -142,8 +148,8 @@ def fit(texts: list[str], labels: list[str], sequences: int = 4000, length: int
             s, t = seq[idx], lab[idx]
             used, back = np.unique(s, return_inverse=True)
             back = back.reshape(s.shape)
-            take = np.repeat(d.offset[used] - np.concatenate(([0], np.cumsum(d.n[used])[:-1])), d.n[used]) + np.arange(d.n[used].sum())
-            f, own = d.feature[take], np.repeat(np.arange(len(used)), d.n[used])
+            take = np.repeat(offset[used] - np.concatenate(([0], np.cumsum(d.n[used])[:-1])), d.n[used]) + np.arange(d.n[used].sum())
+            f, own = feature[take], np.repeat(np.arange(len(used)), d.n[used])
             cut = np.searchsorted(own, np.arange(len(used)))
             e = (np.add.reduceat(weights[f], cut, axis=0) / root[used][:, None])[back]
             e = np.exp(e - e.max(2, keepdims=True))
@@ -244,7 +250,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def known_language(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """Rejects documents whose language is `und` or whose score is below `least`; a null lang is filled in."""
     rest = [c for c in docs.columns if c != "text"]
     kept = predict(docs.select("text", F.struct(*rest).alias("rest")), train(docs.select("text", "lang"))).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
