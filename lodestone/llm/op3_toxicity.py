@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .words import NOT_LETTERS, Words, mix
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 MIN_DF = 4
 FOLDS = 5
 CHAIN = ("low_quality", "toxic")
