@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Refusal
-from ..functions.kinds import kind, sort_key, text
+from ..functions.kinds import number, sort_key, text
 from ..plans.spec import Filter, Metric, QuerySpec, Sort
-from .metrics import metric
+from .metrics import QUANTILES, metric
 from .predicates import column, compile_where
+from .quantiles import exact_quantiles
 
 CUBE_COLUMNS = 8
 PIVOT_VALUES = 50
@@ -75,24 +76,60 @@ def modes(df: DataFrame, keys: list[str], mode: str, m: Metric, order_key: str |
     return out
 
 
-def aggregate(df: DataFrame, q: QuerySpec) -> DataFrame:
-    """Group columns in their order, then metrics."""
+def _points(m: Metric) -> list[float]:
+    return [0.25, 0.75] if m.kind == "IQR" else [QUANTILES[m.kind]]
+
+
+def _quantile(m: Metric, q: Column, points: list[float]) -> Column:
+    at = [q[points.index(p)] for p in _points(m)]
+    return at[1] - at[0] if m.kind == "IQR" else at[0]
+
+
+def quantile_frames(df: DataFrame, keys: list[str], mode: str, c: str, ms: list[Metric]) -> DataFrame:
+    """keys, _gid and the quantile metrics of one column, by bracketing rather than by a buffer of values."""
+    points = sorted({p for m in ms for p in _points(m)})
+    out = None
+    for s in grouping_sets(len(keys), mode):
+        kept = [keys[i] for i in s]
+        q = exact_quantiles(df, kept, number(column(c), df.schema[c].dataType), points)
+        gid = sum(1 << (len(keys) - 1 - i) for i in range(len(keys)) if i not in s)
+        row = q.select(*((F.col(f"_k{s.index(i)}") if i in s else F.lit(None).cast(df.schema[k].dataType)).alias(f"_k{i}x") for i, k in enumerate(keys)), F.lit(gid).cast("long").alias("_gid"), *(_quantile(m, F.col("q"), points).alias(m.name) for m in ms))
+        row = row.withColumnsRenamed({f"_k{i}x": f"_k{i}" for i in range(len(keys))})
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def aggregate(df: DataFrame, q: QuerySpec, bracket: bool = False) -> DataFrame:
+    """Group columns in their order, then metrics.
+
+    Quantiles of one column share a single buffer of value counts; with `bracket`
+    they are found by bracketing instead, for groups of more distinct values than fit in memory.
+    """
     keys = list(dict.fromkeys(q.group_by))
     if not q.metrics:
         plain = df.select(*(column(k) for k in keys))
         return plain.distinct() if q.group_mode == "flat" else _grouped(plain, keys, q.group_mode).agg(F.grouping_id().alias("_gid")).drop("_gid")
-    direct = [m for m in q.metrics if m.kind != "MODE"]
     sets = q.group_mode in ("rollup", "cube") and len(keys) > 0 and (q.group_mode == "rollup" or len(keys) <= CUBE_COLUMNS)
+    mode = q.group_mode if sets else "flat"
     gid = [F.grouping_id().cast("long").alias("_gid")] if sets else [F.max(F.lit(0)).cast("long").alias("_gid")]
-    exprs = [metric(m, df.schema).alias(m.name) for m in direct] + gid
-    out = (_grouped(df, keys, q.group_mode) if keys else df.groupBy()).agg(*exprs)
+    by_column: dict[str, list[Metric]] = {}
     for m in q.metrics:
-        if m.kind == "MODE":
-            other = modes(df, keys, q.group_mode if sets else "flat", m, q.order_key)
-            cond = F.coalesce(out["_gid"], F.lit(0)) == other["_gid"]
-            for i, k in enumerate(keys):
-                cond = cond & out[k].eqNullSafe(other[f"_k{i}"])
-            out = out.join(other, cond, "left").drop(other["_gid"], *(other[f"_k{i}"] for i in range(len(keys))))
+        if m.kind in QUANTILES or m.kind == "IQR":
+            by_column.setdefault(m.column, []).append(m)
+    buffers = {c: sorted({p for m in ms for p in _points(m)}) for c, ms in by_column.items()} if not bracket else {}
+    exprs = [metric(m, df.schema).alias(m.name) for m in q.metrics if m.kind != "MODE" and m.column not in by_column or m.kind not in ("MODE", "IQR", *QUANTILES)]
+    exprs += [F.percentile(number(column(c), df.schema[c].dataType), points).alias(f"_q_{i}") for i, (c, points) in enumerate(buffers.items())]
+    out = (_grouped(df, keys, q.group_mode) if keys else df.groupBy()).agg(*exprs, *gid)
+    for i, (c, points) in enumerate(buffers.items()):
+        out = out.select("*", *(_quantile(m, F.col(f"_q_{i}"), points).alias(m.name) for m in by_column[c])).drop(f"_q_{i}")
+    frames = [modes(df, keys, mode, m, q.order_key) for m in q.metrics if m.kind == "MODE"]
+    if bracket:
+        frames += [quantile_frames(df, keys, mode, c, ms) for c, ms in by_column.items()]
+    for other in frames:
+        cond = F.coalesce(out["_gid"], F.lit(0)) == other["_gid"]
+        for i, k in enumerate(keys):
+            cond = cond & out[k].eqNullSafe(other[f"_k{i}"])
+        out = out.join(other, cond, "left").drop(other["_gid"], *(other[f"_k{i}"] for i in range(len(keys))))
     return out.select(*(column(k) for k in keys), *(column(m.name) for m in q.metrics))
 
 
@@ -136,11 +173,11 @@ def _sort_names(q: QuerySpec, columns: list[str]) -> tuple[Sort, ...]:
     return tuple(out)
 
 
-def execute(df: DataFrame, q: QuerySpec) -> Result:
+def execute(df: DataFrame, q: QuerySpec, bracket: bool = False) -> Result:
     where, skipped = compile_where(q.filters, df.schema)
     rows = df.filter(where) if where is not None else df
     if q.aggregates:
-        out = pivot(rows, q) if q.group_mode == "pivot" else aggregate(rows, q)
+        out = pivot(rows, q) if q.group_mode == "pivot" else aggregate(rows, q, bracket)
         sorts = _sort_names(q, out.columns)
         out = order_by(out, sorts) if sorts else out
     else:

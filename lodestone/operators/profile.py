@@ -33,8 +33,9 @@ def finite(c: Column, t: T.DataType) -> Column:
 def bin_of(x: Column, lo: float, hi: float) -> Column:
     """Bin 0..23 between two finite bounds; all in 0 where they are equal."""
     if hi == lo:
-        return F.lit(0)
-    return F.least(F.lit(BINS - 1), F.floor((x - lo) / F.lit(hi - lo) * BINS).cast("int"))
+        return F.when(x.isNotNull(), F.lit(0))
+    # least() passes over NULLs
+    return F.when(x.isNotNull(), F.least(F.lit(BINS - 1), F.floor((x - lo) / F.lit(hi - lo) * BINS).cast("int")))
 
 
 def bounds(df: DataFrame, name: str) -> tuple[float, float] | None:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,17 +69,15 @@ def read_footer(path: str, size: int) -> list[dict]:
 
 
 def column_chunks(spark: SparkSession, path: str) -> DataFrame:
-    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in CHUNKS.split(", "))])
 
     def run(batches):
         for b in batches:
-            rows = [r for p, n in zip(b["path"], b["length"]) for r in read_footer(p, int(n))]
-            df = pd.DataFrame(rows, columns=names)
-            for c in ("file_bytes", "file_rows", "row_group", "group_rows", "group_bytes", "compressed", "uncompressed", "nulls", "distinct"):
-                df[c] = df[c].astype("Int64")
-            yield df
+            rows = [r for p, n in zip(b["path"].to_pylist(), b["length"].to_pylist()) for r in read_footer(p, n)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return list_files(spark, path).mapInPandas(run, CHUNKS)
+    return list_files(spark, path).mapInArrow(run, CHUNKS)
 
 
 def files(chunks: DataFrame) -> DataFrame:

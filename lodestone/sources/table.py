@@ -75,7 +75,7 @@ def open_table(spark: SparkSession, path: str, name: str | None = None, check: b
     skipped: tuple[str, ...] = ()
     override: dict[str, str] = {}
     if check:
-        chunks = footer.column_chunks(spark, path)
+        chunks = footer.column_chunks(spark, path).persist()  # footers are read once for the three checks
         found = footer.files(chunks).agg(F.count("*").alias("n"), F.slice(F.collect_list(F.when(F.col("problem").isNotNull(), F.col("path"))), 1, 100).alias("bad")).first()
         skipped = tuple(found.bad)
         if not found.n or len(skipped) == found.n:
@@ -83,6 +83,7 @@ def open_table(spark: SparkSession, path: str, name: str | None = None, check: b
         if bad := conflicts(chunks):
             raise Refusal("schema conflict", "; ".join(f"column {c} is {a} in {fa} but {b} in {fb}" for c, fa, a, fb, b in bad))
         override = _exotic(chunks)
+        chunks.unpersist()
     reader = spark.read.option("mergeSchema", "true").option("pathGlobFilter", "*.{parquet,parq,pq,PARQUET}").option("ignoreCorruptFiles", str(bool(skipped)).lower())
     if override:
         first = footer.column_chunks(spark, path).filter("problem IS NULL").select("path").first().path
