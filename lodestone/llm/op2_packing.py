@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialise, partitions, table
 
 LENGTH = 2048
-BINS = 128
+BINS = 256
 END = 0
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
