@@ -28,7 +28,10 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def _signature(c) -> str:
     repeated = "repeated" if c.max_repetition_level else "single"
-    return f"{c.physical_type}({c.length or 0}) {c.logical_type.type if c.logical_type else 'NONE'} {repeated}"
+    kind = c.logical_type.type if c.logical_type else "NONE"
+    if kind in ("TIME", "TIMESTAMP"):
+        kind += "/" + str(json.loads(c.logical_type.to_json()).get("timeUnit", "")).lower()
+    return f"{c.physical_type}({c.length or 0}) {kind} {repeated}"
 
 
 def _number(v):
@@ -38,14 +41,33 @@ def _number(v):
         return None
 
 
-def read_footer(path: str, size: int) -> list[dict]:
+def _open(path: str):
     import pyarrow.fs as fs
+
+    system, where = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:/") else "file://" + path[5:])
+    return system.open_input_file(where)
+
+
+def arrow_schema(path: str) -> pa.Schema:
+    import pyarrow.parquet as pq
+
+    with _open(path) as f:
+        return pq.read_schema(f)
+
+
+def read_group(path: str, group: int) -> pa.Table:
+    import pyarrow.parquet as pq
+
+    with _open(path) as f:
+        return pq.ParquetFile(f).read_row_group(group)
+
+
+def read_footer(path: str, size: int) -> list[dict]:
     import pyarrow.parquet as pq
 
     base = {"path": path, "file_bytes": size, "file_rows": None, "created_by": None, "key_values": None, "problem": None}
     try:
-        system, where = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:/") else "file://" + path[5:])
-        with system.open_input_file(where) as f:
+        with _open(path) as f:
             m = pq.read_metadata(f)
     except Exception as e:  # an unreadable file is listed with its reason
         return [base | {"problem": str(e)[:200]}]

@@ -69,6 +69,53 @@ def sniff_text(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.decode(F.col(f"`{n}`"), "UTF-8") for n in names if r[n]})
 
 
+def _beyond_reader(chunks: DataFrame) -> bool:
+    """Whether a file uses a codec, encoding or time unit that Spark's reader refuses."""
+    kind = F.split("signature", " ")[1]
+    refused = (F.col("codec") == "BROTLI") | F.contains("encodings", F.lit("BYTE_STREAM_SPLIT")) | kind.startswith("TIME/") | (kind == "TIMESTAMP/nanoseconds")
+    return not chunks.filter(refused).limit(1).isEmpty()
+
+
+def read_with_arrow(spark: SparkSession, chunks: DataFrame) -> DataFrame:
+    """Files that Spark's reader refuses, a row group a task at a time, through Arrow.
+
+    Times of day become text and nanoseconds microseconds; columns a file lacks
+    are NULL; Hive keys are text.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    def plain(t: pa.DataType) -> pa.DataType:
+        if pa.types.is_time(t):
+            return pa.string()
+        if pa.types.is_timestamp(t):
+            return pa.timestamp("us", t.tz)
+        return pa.float32() if pa.types.is_float16(t) else plain(t.value_type) if pa.types.is_dictionary(t) else t
+
+    paths = [r.path for r in chunks.filter("problem IS NULL").groupBy().agg(F.slice(F.array_sort(F.collect_set("path")), 1, 1).alias("p")).select(F.explode("p").alias("path")).collect()]
+    united = pa.schema([pa.field(f.name, plain(f.type)) for f in footer.arrow_schema(paths[0])])
+    more = chunks.filter("problem IS NULL").groupBy("column").agg(F.min("path").alias("path")).select("path").distinct()
+    for r in more.collect():  # a file for each set of columns at most
+        for f in footer.arrow_schema(r.path):
+            if f.name not in united.names:
+                united = united.append(pa.field(f.name, plain(f.type)))
+    keys = list(dict.fromkeys(p.split("=", 1)[0] for p in paths[0].split("/")[:-1] if "=" in p))
+    out = pa.schema([pa.field(k, pa.string()) for k in keys] + list(united))
+
+    def run(batches):
+        for b in batches:
+            for path, group in zip(b["path"].to_pylist(), b["row_group"].to_pylist()):
+                t = footer.read_group(path, group)
+                hive = dict(p.split("=", 1) for p in path.split("/")[:-1] if "=" in p)
+                columns = [pa.array([hive.get(k)] * t.num_rows, pa.string()) for k in keys]
+                for f in united:
+                    columns.append(t[f.name].cast(f.type, safe=False) if f.name in t.column_names else pa.nulls(t.num_rows, f.type))
+                yield from pa.table(columns, schema=out).to_batches(max_chunksize=65536)
+
+    groups = chunks.filter("row_group IS NOT NULL").select("path", "row_group").distinct()
+    return groups.mapInArrow(run, from_arrow_schema(out, prefer_timestamp_ntz=True))
+
+
 def open_table(spark: SparkSession, path: str, name: str | None = None, check: bool = True) -> Table:
     """A lazy table; with `check`, footers are read first for conflicts, unreadable files and types that Spark does not read."""
     base = name or path.rstrip("/").rsplit("/", 1)[-1].split(".")[0]
@@ -82,15 +129,16 @@ def open_table(spark: SparkSession, path: str, name: str | None = None, check: b
             raise Refusal("nothing to read", f"no readable Parquet file at {path}")
         if bad := conflicts(chunks):
             raise Refusal("schema conflict", "; ".join(f"column {c} is {a} in {fa} but {b} in {fb}" for c, fa, a, fb, b in bad))
+        if _beyond_reader(chunks):
+            return Table(sniff_text(read_with_arrow(spark, chunks)), base, skipped=skipped)
         override = _exotic(chunks)
         chunks.unpersist()
     reader = spark.read.option("mergeSchema", "true").option("pathGlobFilter", "*.{parquet,parq,pq,PARQUET}").option("ignoreCorruptFiles", str(bool(skipped)).lower())
     if override:
         first = footer.column_chunks(spark, path).filter("problem IS NULL").select("path").first().path
-        import pyarrow.parquet as pq
         from pyspark.sql.pandas.types import from_arrow_type
 
-        arrow = pq.read_schema(first.removeprefix("file://").removeprefix("file:"))
+        arrow = footer.arrow_schema(first)
         fields = [T.StructField(f.name, T.BinaryType() if f.name in override else from_arrow_type(f.type)) for f in arrow]
         df = reader.schema(T.StructType(fields)).parquet(path)
         df = df.withColumns({c: EXOTIC[k][1](F.col(f"`{c}`")) for c, k in override.items()})

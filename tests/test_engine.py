@@ -285,6 +285,16 @@ def test_types_spark_cannot_read_and_text_sniffing(spark, tmp_path):
     assert [r.h for r in rows] == [float(v) for v in values] and rows[3].raw == "é" and isinstance(rows[0].bin, (bytes, bytearray))
 
 
+def test_files_beyond_the_reader_go_through_arrow(spark, tmp_path):
+    t = pa.table({"id": [1, 2, 3], "ms": pa.array([1500, None, 0], pa.time32("ms")), "ns": pa.array([1_000_000_123, 0, None], pa.timestamp("ns")), "x": [0.5, 1.5, None]})
+    (tmp_path / "k=a").mkdir()
+    pq.write_table(t, tmp_path / "k=a/one.parquet", compression="brotli", row_group_size=2, use_dictionary=False, column_encoding={"x": "BYTE_STREAM_SPLIT"})
+    pq.write_table(pa.table({"id": [4]}), tmp_path / "k=a/two.parquet", compression="brotli")
+    rows = sorted(open_table(spark, str(tmp_path)).df.collect(), key=lambda r: r.id)
+    assert [(r.k, r.id, r.ms, r.x) for r in rows] == [("a", 1, "00:00:01.500", 0.5), ("a", 2, None, 1.5), ("a", 3, "00:00:00.000", None), ("a", 4, None, None)]
+    assert rows[0].ns == dt.datetime(1970, 1, 1, 0, 0, 1)
+
+
 def test_footers_and_plan(spark, tmp_path):
     pq.write_table(pa.table({"id": list(range(1000)), "s": [f"s{i:04d}" for i in range(1000)]}), tmp_path / "a.parquet", row_group_size=100)
     chunks = footer.column_chunks(spark, str(tmp_path / "a.parquet"))
