@@ -66,13 +66,12 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, keep_ids: bool = Fa
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Least squares with x >= 0 by the active-set method on the normal equations."""
-    ata, atb = a.T @ a, a.T @ b
+    """Least squares with x >= 0 by the active-set method."""
     n = a.shape[1]
     x, free = np.zeros(n), np.zeros(n, bool)
-    tol = 1e-9 * max(1.0, float(np.abs(atb).max(initial=0)))
+    tol = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     for _ in range(rounds):
-        w = atb - ata @ x
+        w = a.T @ (b - a @ x)
         w[free] = -np.inf
         j = int(np.argmax(w))
         if w[j] <= tol:
@@ -80,7 +79,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
         free[j] = True
         while True:
             p = np.flatnonzero(free)
-            z = np.linalg.lstsq(ata[np.ix_(p, p)], atb[p], rcond=None)[0]
+            z = np.linalg.lstsq(a[:, p], b, rcond=None)[0]
             if (z > 0).all():
                 x[:] = 0
                 x[p] = z
