@@ -8,8 +8,11 @@ them is indexed alone or both are frequent and their combination is indexed.
 Shingles found in one set only are never indexed.  Documents with equal
 sets form one class and are joined once.  Classes that share a key form a
 candidate group (components over one link to the least class of each key);
-groups are cut into blocks, and each pair of blocks is verified by a matrix
-product of the sets, which emits a spanning forest and never the pairs.
+groups are cut into blocks of bounded size, and a block is verified by a matrix
+product of its sets, which emits a spanning forest and never the pairs.  In a
+group of several blocks the roots of the forests are verified in turn, level by
+level, and only blocks of components that are still apart meet in pairs, so a group
+of near copies costs about one pass however large it is.
 
 Defined results: null and wordless texts have no shingles and component_id =
 doc_id; repeated rows are equal sets and share a component; a null doc_id
@@ -30,7 +33,8 @@ from .words import Words, mix
 
 FREQUENT = 32  # chunks; shingles in more are indexed by combinations
 MOST_FREQUENT = 48  # frequent shingles in one prefix; beyond, they are indexed alone as well
-BLOCK = 512
+BLOCK = 512  # classes
+BLOCK_BYTES = 16_000_000
 U = np.uint64
 
 
@@ -153,22 +157,25 @@ def _intersections(tokens: list[np.ndarray], rows: slice, cols: slice) -> np.nda
 
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+EDGE = "a bigint, b bigint"
 
 
 def _verify(percent: int):
+    """Links of a block, or between two (`second` tells them apart), as a spanning forest: each node to the least of its tree."""
+
     def verify(t: pa.Table) -> pa.Table:
-        block = np.asarray(t["block"].to_numpy())
-        order = np.lexsort((t["node"].to_numpy(), block))
+        second = np.asarray(t["second"].to_numpy())
+        order = np.lexsort((t["node"].to_numpy(), second))
         node, size, raw = np.asarray(t["node"].to_numpy())[order], np.asarray(t["n"].to_numpy())[order], t["tokens"].to_pylist()
         tokens = [np.frombuffer(raw[i], U) for i in order]
-        first = int((block == block.min()).sum())
-        n = len(node)
-        rows, cols = (slice(0, n), slice(0, n)) if first == n else (slice(0, first), slice(first, n))
+        n, first = len(node), int((~second).sum())
+        rows, cols = (slice(0, first), slice(first, n)) if 0 < first < n else (slice(0, n), slice(0, n))
         both = _intersections(tokens, rows, cols)
         linked = 100 * both >= percent * (size[rows][:, None] + size[cols][None, :] - both)
         i, j = np.nonzero(linked)
-        label = np.arange(n)
-        i, j = i + rows.start, j + cols.start
+        rank = np.argsort(np.argsort(node, kind="stable"), kind="stable")
+        label, by_rank = np.arange(n), np.argsort(rank, kind="stable")
+        i, j = rank[i + rows.start], rank[j + cols.start]
         while True:
             new = label.copy()
             np.minimum.at(new, i, label[j])
@@ -178,11 +185,62 @@ def _verify(percent: int):
                 break
             label = new
         some = np.flatnonzero(label != np.arange(n))
-        return pa.table({"a": node[some], "b": node[label[some]]}, schema=_EDGE)
+        return pa.table({"a": node[by_rank[some]], "b": node[by_rank[label[some]]]}, schema=_EDGE)
 
     return verify
 
 
+def _blocks(block: int):
+    """Blocks that the rows of a group need."""
+    return F.expr(f"cast(ceil(greatest(count(*) / {block}, sum(octet_length(tokens)) / {BLOCK_BYTES})) as int)")
+
+
+def _inside(level: DataFrame, percent: int, block: int, salt: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of groups of several blocks, links found inside blocks)."""
+    rows = level.join(level.groupBy("grp").agg(_blocks(block).alias("blocks")), "grp")
+    dealt = rows.select("grp", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).alias("block"), F.lit(False).alias("second"), "node", "n", "tokens")
+    return rows.filter("blocks > 1").select(*level.columns), materialise(dealt.groupBy("grp", "block").applyInArrow(_verify(percent), EDGE))
+
+
+def _between(apart: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between components (`comp`) of a group.
+
+    Components of half a block or more have blocks of their own, which never meet each other; smaller ones share blocks.
+    """
+    sizes = apart.groupBy("grp", "comp").agg(F.expr(f"count(*) * 2 >= {block} OR sum(octet_length(tokens)) * 2 >= {BLOCK_BYTES}").alias("own"))
+    rows = apart.join(sizes, ["grp", "comp"]).withColumn("unit", F.when(F.col("own"), F.col("comp")).otherwise(0))
+    units = rows.groupBy("grp", "own", "unit").agg(_blocks(block).alias("parts"))
+    others = units.select("grp", *(F.col(c).alias(f"other_{c}") for c in ("own", "unit", "parts")))
+    pairs = units.join(others, "grp").filter("NOT (own AND other_own AND unit = other_unit)")
+    rows = rows.join(pairs, ["grp", "own", "unit"]).withColumn("part", F.pmod(F.when(F.col("own"), F.xxhash64("node")).otherwise(F.xxhash64("comp")), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other_part", F.explode(F.expr("sequence(0, other_parts - 1)")))
+    rows = rows.withColumn("mine", F.struct("own", "unit", "part")).withColumn("other", F.expr("named_struct('own', other_own, 'unit', other_unit, 'part', other_part)"))
+    sided = rows.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "node", "n", "tokens")
+    return sided.groupBy("grp", "i", "j").applyInArrow(_verify(percent), EDGE)
+
+
+def verified_components(classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """(node, comp) over all links between `classes` (grp, node, n, tokens) of one group."""
+    several, links = _inside(classes, percent, block, 0)
+    level, salt = several, 0
+    while True:
+        # the roots of the forests stand for their trees
+        roots = materialise(level.join(links.select(F.col("a").alias("node")), "node", "left_anti").select(*classes.columns))
+        left = roots.count()
+        if not left or (salt and left * 2 > before):
+            break
+        before, salt = left, salt + 1
+        level, more = _inside(roots, percent, block, salt)
+        links = links.unionByName(more)
+    known = components(links)
+    if not salt:
+        return known
+    labelled = materialise(several.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    apart = labelled.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("grp")
+    more = materialise(_between(labelled.join(apart, "grp", "left_semi"), percent, block))
+    return components(links.unionByName(more))
+
+
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     dealt, parts, buckets = chunks(docs.select("doc_id", "text"))
@@ -196,14 +254,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOC
     pivots = entries.groupBy("key").agg(F.min("c1").alias("b"), F.count("*").alias("m"), F.max("wide").alias("wide")).filter("m > 1 AND wide").select("key", "b")
     groups = components(entries.select("key", F.col("c1").alias("a")).join(pivots, "key").select("a", "b"))
     classes = indexed.join(groups.select(F.col("node").alias("c1"), F.col("comp").alias("grp")), "c1").groupBy("grp", "c1", "c2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    classes = materialise(classes)
-    blocks = classes.groupBy("grp").agg(F.expr(f"cast(ceil(count(*) / {block}) as int)").alias("blocks"))
-    # every pair of blocks of a group is one task; a block goes to as many tasks as the group has blocks
-    sided = classes.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    sided = sided.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    sided = sided.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "tokens")
-    links = sided.groupBy("grp", "i", "j").applyInArrow(_verify(percent), "a bigint, b bigint")
-    comp = components(links)
+    comp = verified_components(materialise(classes.select("grp", "node", "n", "tokens")), percent, block)
     least = found.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
     named = least.join(comp, "node", "left").select("c1", "c2", F.coalesce("comp", "node").alias("comp"))
     doc = F.expr(f"nullif(doc_id, {MISSING})")

@@ -97,3 +97,37 @@ def test_edges(spark):
     twice = spark.createDataFrame([(1, "p q", "", ""), (1, "p q", "", "")], DOCS)
     assert op8.ngram_join(twice).count() == 2
     assert op8.ngram_join(twice.limit(0)).count() == 0
+
+
+def test_blocks_of_one_group_lose_no_link(spark):
+    """Large, small and single components in one candidate group, over several blocks, against all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows, sets = [], {}
+    for cluster, many in enumerate((90, 40, 12, 9, 5, 1, 1, 1)):
+        own = rng.choice(2**60, 50, replace=False).astype(np.uint64)
+        for _ in range(many):
+            s = own.copy()
+            change = int(rng.integers(0, 9))
+            s[rng.choice(50, change, replace=False)] = rng.choice(2**60, change).astype(np.uint64)
+            node = int(rng.integers(-(2**40), 2**40))
+            sets[node] = set(s.tolist())
+            rows.append((7, node, 50, bytearray(s.tobytes())))
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 80 * (100 - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    classes = spark.createDataFrame(rows, "grp long, node long, n long, tokens binary")
+    for block in (4, 16, 1000):
+        got = {r.node: r.comp for r in op8.verified_components(classes, 80, block).collect()}
+        assert {d: got.get(d, d) for d in sets} == {d: find(d) for d in sets}
