@@ -197,8 +197,12 @@ def _blocks(block: int):
 
 def _inside(level: DataFrame, percent: int, block: int, salt: int) -> tuple[DataFrame, DataFrame]:
     """(rows of groups of several blocks, links found inside blocks)."""
-    rows = level.join(level.groupBy("grp").agg(_blocks(block).alias("blocks")), "grp")
-    dealt = rows.select("grp", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).alias("block"), F.lit(False).alias("second"), "node", "n", "tokens")
+    # written out, so that its size is known when Spark chooses the join: small, it leaves the sets where they are
+    large = materialise(level.groupBy("grp").agg(_blocks(block).alias("blocks")).filter("blocks > 1"))
+    rows = level.join(large, "grp", "left")
+    number = F.pmod(F.xxhash64("node", F.lit(salt)), F.coalesce("blocks", F.lit(1)))
+    # dealt by block too: rows that a join left dealt by group would pass as grouped, with a whole group in one task
+    dealt = rows.select("grp", number.alias("block"), F.lit(False).alias("second"), "node", "n", "tokens").repartition("grp", "block")
     return rows.filter("blocks > 1").select(*level.columns), materialise(dealt.groupBy("grp", "block").applyInArrow(_verify(percent), EDGE))
 
 
@@ -215,7 +219,7 @@ def _between(apart: DataFrame, percent: int, block: int) -> DataFrame:
     rows = rows.join(pairs, ["grp", "own", "unit"]).withColumn("part", F.pmod(F.when(F.col("own"), F.xxhash64("node")).otherwise(F.xxhash64("comp")), F.col("parts")).cast("int"))
     rows = rows.withColumn("other_part", F.explode(F.expr("sequence(0, other_parts - 1)")))
     rows = rows.withColumn("mine", F.struct("own", "unit", "part")).withColumn("other", F.expr("named_struct('own', other_own, 'unit', other_unit, 'part', other_part)"))
-    sided = rows.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "node", "n", "tokens")
+    sided = rows.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "node", "n", "tokens").repartition("grp", "i", "j")
     return sided.groupBy("grp", "i", "j").applyInArrow(_verify(percent), EDGE)
 
 
