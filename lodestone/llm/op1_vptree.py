@@ -8,12 +8,14 @@ for the queries whose triangle bound, times `factor`, exceeds the distance of
 their k-th best so far.  A factor of one is exact search; a larger one prunes more.
 The first bounds come from a bounded sample of vectors.
 
-Equal vectors are one class with its k + 1 least ids, which suffice for
-every answer, so thousands of copies cost one entry.  Queries go in blocks of
-bounded size, broadcast one after another.
+Equal vectors are one class with its k + 1 least ids and the rows of each, which
+suffice for every answer, so thousands of copies cost one entry.  An id in one
+class takes one entry of its query's k + 1 however many rows bear it; a query whose
+id stands in several classes is searched on its own and never meets its own rows.
+Queries go in blocks of bounded size, broadcast one after another.
 
 Defined results: vectors that are null, zero, hold null or non-finite components
-or have another length than most take no part, as queries or candidates;
+or have another length than most, or a null vec_id, take no part, as queries or candidates;
 repeated vec_ids are separate rows, and a query leaves out every row of its own
 id; fewer candidates than k give fewer rows; an empty table gives an empty
 result; extra columns are ignored.
@@ -60,8 +62,10 @@ class Tree:
 class Search:
     """The best k of each query, over any number of trees."""
 
-    def __init__(self, q: np.ndarray, top: float, k: int, factor: float):
-        self.q, self.k, self.factor = q, k, factor
+    def __init__(self, q: np.ndarray, top: float, k: int, factor: float, own: np.ndarray | None = None, has_own: np.ndarray | None = None):
+        """own: the id whose classes a query leaves out, where has_own."""
+        self.q, self.k, self.factor, self.own = q, k, factor, own
+        self.has_own = np.zeros(len(q), bool) if has_own is None else has_own
         self.square = (q * q).sum(1) + top * top
         self.score = np.full((len(q), k), -np.inf)
         self.row = np.full((len(q), k), -1, np.int64)
@@ -70,16 +74,24 @@ class Search:
     def distance(self, score: np.ndarray, who: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(self.square[who].reshape(-1, *[1] * (score.ndim - 1)) - 2 * score, 0))
 
-    def seed(self, x: np.ndarray) -> None:
+    def leave_out(self, s: np.ndarray, who: np.ndarray, only: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """Scores `s` without the classes of a query's own id alone; only: (id, whether the class has no other)."""
+        mine = np.flatnonzero(self.has_own[who])
+        if only is not None and len(mine):
+            s[mine] = np.where((self.own[who[mine]][:, None] == only[0]) & only[1], -np.inf, s[mine])
+        return s
+
+    def seed(self, x: np.ndarray, only: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         """Bounds from a sample; its rows are found again in their shards."""
         if len(x) >= self.k:
             for a in range(0, len(self.q), 4096):
                 who = np.arange(a, min(a + 4096, len(self.q)))
-                kth = np.partition(self.q[who] @ x.T, len(x) - self.k, axis=1)[:, len(x) - self.k]
+                kth = np.partition(self.leave_out(self.q[who] @ x.T, who, only), len(x) - self.k, axis=1)[:, len(x) - self.k]
                 self.bound[who] = self.distance(kth, who)
 
-    def run(self, tree: Tree, vectors: np.ndarray, base: int) -> None:
+    def run(self, tree: Tree, vectors: np.ndarray, base: int, only: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         """vectors: the tree's rows without the added coordinate; base: number of the first."""
+        self.only = only
         stack = [(tree.root, np.arange(len(self.q)))]
         while stack:
             node, who = stack.pop()
@@ -99,13 +111,13 @@ class Search:
     def _leaf(self, rows: np.ndarray, who: np.ndarray, vectors: np.ndarray, base: int) -> None:
         for a in range(0, len(who), 8192):
             w = who[a : a + 8192]
-            s = self.q[w] @ vectors[rows].T
+            s = self.leave_out(self.q[w] @ vectors[rows].T, w, self.only and (self.only[0][rows], self.only[1][rows]))
             better = s.max(1) >= self.score[w, -1]
             w, s = w[better], s[better]
             if not len(w):
                 continue
             score = np.concatenate((self.score[w], s), 1)
-            row = np.concatenate((self.row[w], np.broadcast_to(rows + base, s.shape)), 1)
+            row = np.concatenate((self.row[w], np.where(s > -np.inf, rows + base, -1)), 1)
             best = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
             self.score[w], self.row[w] = np.take_along_axis(score, best, 1), np.take_along_axis(row, best, 1)
             full = self.row[w, -1] >= 0
@@ -118,41 +130,47 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-_HIT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hits", pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))])
-HIT = "a bigint, b bigint, hits array<struct<score:double,vec_id:bigint>>"
+def _only(first, size) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(first, np.int64), np.asarray(size, np.int64) == 1
+
+
+_HIT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("own", pa.int64()), ("hits", pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64()), ("rows", pa.int64())])))])
+HIT = "a bigint, b bigint, own bigint, hits array<struct<score:double,vec_id:bigint,rows:bigint>>"
 
 
 def _searcher(shared, top: float, k: int, factor: float):
     def run(batches):
-        qa, qb, q, seeds = shared.value
-        found = Search(q, top, k, factor)
-        found.seed(seeds)
-        ids: list[list[int]] = []
+        qa, qb, own, q, seeds, only = shared.value
+        has_own = np.array([i is not None for i in own], bool)
+        found = Search(q, top, k, factor, np.array([i or 0 for i in own], np.int64), has_own)
+        found.seed(seeds, only)
+        ids: list[list[dict]] = []
         waiting: list[np.ndarray] = []
 
         def shard():
             x = np.concatenate(waiting)
             waiting.clear()
             lifted = np.concatenate((x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))[:, None]), 1)
-            found.run(Tree(lifted), x, len(ids) - len(x))
+            here = ids[len(ids) - len(x) :]
+            found.run(Tree(lifted), x, len(ids) - len(x), _only([i[0]["vec_id"] for i in here], [len(i) for i in here]))
 
         for b in batches:
-            x, own = _matrix(b["embedding"]), b["ids"].to_pylist()
+            x, of = _matrix(b["embedding"]), b["ids"].to_pylist()
             for a in range(0, len(x), SHARD):
                 if sum(map(len, waiting)) + len(x[a : a + SHARD]) > SHARD:
                     shard()
                 waiting.append(x[a : a + SHARD])
-                ids += own[a : a + SHARD]
+                ids += of[a : a + SHARD]
         if waiting:
             shard()
         if not ids:
             return
         for lo in range(0, len(q), 1000):
             hits = []
-            for s, r in zip(found.score[lo : lo + 1000].tolist(), found.row[lo : lo + 1000].tolist()):
-                each = sorted((-x, i) for x, j in zip(s, r) if j >= 0 for i in ids[j])[:k]
-                hits.append([{"score": -x, "vec_id": i} for x, i in each])
-            yield pa.RecordBatch.from_pydict({"a": qa[lo : lo + 1000], "b": qb[lo : lo + 1000], "hits": hits}, schema=_HIT)
+            for s, r, o in zip(found.score[lo : lo + 1000].tolist(), found.row[lo : lo + 1000].tolist(), own[lo : lo + 1000]):
+                each = sorted((-x, i["vec_id"], i["rows"]) for x, j in zip(s, r) if j >= 0 for i in ids[j] if i["vec_id"] != o)[:k]
+                hits.append([{"score": -x, "vec_id": i, "rows": n} for x, i, n in each])
+            yield pa.RecordBatch.from_pydict({"a": qa[lo : lo + 1000], "b": qb[lo : lo + 1000], "own": own[lo : lo + 1000], "hits": hits}, schema=_HIT)
 
     return run
 
@@ -160,35 +178,41 @@ def _searcher(shared, top: float, k: int, factor: float):
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, factor: float = FACTOR, block: int = QUERIES) -> DataFrame:
     """(vec_id, embedding): query_id, rank, vec_id, score of the k nearest of each row that `is_query` holds for."""
     spark = vectors.sparkSession
-    usable = "embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x <> 0)"
+    usable = "vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x <> 0)"
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(usable)
     most = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if most is None:
         return empty
     v = v.filter(F.size("embedding") == most.d).withColumn("a", F.xxhash64("embedding")).withColumn("b", F.xxhash64(F.lit("vp"), "embedding"))
+    entries = v.groupBy("a", "b", "vec_id").agg(F.count("*").alias("rows"), F.first("embedding").alias("embedding"))
     order = Window.partitionBy("a", "b").orderBy("vec_id")
-    few = v.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
-    classes = materialise(few.groupBy("a", "b").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding")))
-    # an id that stands in several rows counts once for each; the k + 1 least of a class suffice unless a query's id is repeated
+    few = entries.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
+    classes = materialise(few.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("vec_id", "rows"))).alias("ids"), F.first("embedding").alias("embedding")))
+    # the k + 1 least entries of a class suffice, since a query leaves out one of them at most
     asked = v.filter(is_query).select("vec_id", "a", "b")
-    queries = materialise(classes.join(asked.select("a", "b").distinct(), ["a", "b"]).select("a", "b", "embedding"))
+    several = entries.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").count().filter("count > 1").select("vec_id", F.col("vec_id").alias("own"))
+    asked = materialise(asked.join(several, "vec_id", "left"))
+    queries = materialise(classes.join(asked.select("a", "b", "own").distinct(), ["a", "b"]).select("a", "b", "own", "embedding"))
     count, n = queries.count(), classes.count()
     if not count:
         return empty
     top = classes.agg(F.sqrt(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] * (1 + 1e-12)
-    seeds = np.array([r.embedding for r in classes.orderBy("a", "b").limit(SEEDS).select("embedding").collect()], np.float64)
+    sample = classes.orderBy("a", "b").limit(SEEDS).select("embedding", F.expr("ids[0].vec_id").alias("first"), F.size("ids").alias("size")).collect()
+    seeds, only = np.array([r.embedding for r in sample], np.float64), _only([r.first for r in sample], [r.size for r in sample])
     blocks = -(-count // block)
     spread = classes.repartition(max(1, min(-(-n // LEAF), max(spark.sparkContext.defaultParallelism, -(-n // (4 * SHARD))))))
     hits = None
     for i in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("b", "a"), F.lit(blocks)) == i).toArrow()
-        shared = spark.sparkContext.broadcast((rows["a"].to_numpy(), rows["b"].to_numpy(), _matrix(rows["embedding"]), seeds))
+        rows = queries.filter(F.pmod(F.xxhash64("b", "a", "own"), F.lit(blocks)) == i).toArrow()
+        shared = spark.sparkContext.broadcast((rows["a"].to_numpy(), rows["b"].to_numpy(), rows["own"].to_pylist(), _matrix(rows["embedding"]), seeds, only))
         part = spread.select("ids", "embedding").mapInArrow(_searcher(shared, top, k + 1, factor), HIT)
-        part = part.groupBy("a", "b").agg(F.slice(F.sort_array(F.transform(F.flatten(F.collect_list("hits")), lambda h: F.struct((-h["score"]).alias("s"), h["vec_id"].alias("vec_id")))), 1, k + 1).alias("hits"))
+        part = part.groupBy("a", "b", "own").agg(F.slice(F.sort_array(F.transform(F.flatten(F.collect_list("hits")), lambda h: F.struct((-h["score"]).alias("s"), h["vec_id"].alias("vec_id"), h["rows"].alias("rows")))), 1, k + 1).alias("hits"))
         part = materialise(part) if blocks > 1 else part
         hits = part if hits is None else hits.unionByName(part)
-    each = asked.join(hits, ["a", "b"]).select(F.col("vec_id").alias("query_id"), F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("vec_id")), 1, k).alias("h"))
+    met = asked.alias("q").join(hits.alias("h"), F.expr("q.a = h.a AND q.b = h.b AND q.own <=> h.own")).select("vec_id", "hits")
+    others = F.flatten(F.transform(F.filter("hits", lambda h: h["vec_id"] != F.col("vec_id")), lambda h: F.array_repeat(h, F.least(h["rows"], F.lit(k)).cast("int"))))
+    each = met.select(F.col("vec_id").alias("query_id"), F.slice(others, 1, k).alias("h"))
     return each.select("query_id", F.posexplode("h").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
 
 

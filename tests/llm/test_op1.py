@@ -64,3 +64,21 @@ def test_edges(spark):
     assert run(df) == brute(ids, x, 20)
     assert run(df.filter("vec_id >= 1000 AND vec_id <> 1100")) == {} and run(df.limit(0)) == {}
     assert run(df.filter("vec_id IN (0, 3)")) == {0: [3]}
+
+
+def test_rows_of_a_querys_own_id_take_no_place(spark):
+    """All rows doubled, one query id on 30 equal rows, one on 30 different rows, and a null vec_id among the candidates."""
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=8)
+    rows = [(i, rng.normal(size=8)) for i in range(1, 120)] * 2
+    rows += [(200, near)] * 30 + [(220, near + rng.normal(size=8) * 0.01) for _ in range(30)] + [(201, near), (220, near)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    df = spark.createDataFrame([(i, v, "") for i, v in rows + [(None, v) for _, v in rows[-40:]]], ROWS)
+    want, x = [], np.array([v for _, v in rows])
+    for i, v in rows:
+        if i % 20 == 0:
+            best = sorted((-round(float(s), 6), j) for s, (j, _) in zip(x @ np.array(v), rows) if j != i)[:20]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    for block in (5, 32768):
+        got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in op1.nearest(df, "vec_id % 20 = 0", block=block).collect()]
+        assert sorted(got) == sorted(want)
