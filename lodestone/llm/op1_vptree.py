@@ -10,7 +10,7 @@ The first bounds come from a bounded sample of vectors.
 
 Equal vectors are one class with its k + 1 least ids and the rows of each, which
 suffice for every answer, so thousands of copies cost one entry.  An id in one
-class takes one entry of its query's k + 1 however many rows bear it; a query whose
+class takes one entry of its query's k + 1 (by score, then id) however many rows bear it; a query whose
 id stands in several classes is searched on its own and never meets its own rows.
 Queries go in blocks of bounded size, broadcast one after another.
 
@@ -35,6 +35,7 @@ LEAF = 64
 QUERIES = 32768
 SEEDS = 2048
 FACTOR = 1.0
+LAST = np.iinfo(np.int64).max
 
 
 class Tree:
@@ -69,29 +70,39 @@ class Search:
         self.square = (q * q).sum(1) + top * top
         self.score = np.full((len(q), k), -np.inf)
         self.row = np.full((len(q), k), -1, np.int64)
+        self.id = np.full((len(q), k), LAST)  # the least id of each class that is not the query's own
         self.bound = np.full(len(q), np.inf)  # distance of the k-th best
 
     def distance(self, score: np.ndarray, who: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(self.square[who].reshape(-1, *[1] * (score.ndim - 1)) - 2 * score, 0))
 
-    def leave_out(self, s: np.ndarray, who: np.ndarray, only: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-        """Scores `s` without the classes of a query's own id alone; only: (id, whether the class has no other)."""
+    def leave_out(self, s: np.ndarray, who: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores without the classes of a query's own id alone, and the least other id of each class; ids: the two least of each class, or LAST."""
+        least = np.broadcast_to(ids[:, 0], s.shape)
         mine = np.flatnonzero(self.has_own[who])
-        if only is not None and len(mine):
-            s[mine] = np.where((self.own[who[mine]][:, None] == only[0]) & only[1], -np.inf, s[mine])
-        return s
-
-    def seed(self, x: np.ndarray, only: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        if len(mine):
+            least = least.copy()
+            own = self.own[who[mine]][:, None] == ids[:, 0]
+            least[mine] = np.where(own, ids[:, 1], least[mine])
+            s[mine] = np.where(own & (ids[:, 1] == LAST), -np.inf, s[mine])
+        return s, least
+
+    @staticmethod
+    def two_least(vectors: np.ndarray) -> np.ndarray:
+        """Ids by row, where the caller has none."""
+        return np.stack((np.arange(len(vectors)), np.full(len(vectors), LAST)), 1)
+
+    def seed(self, x: np.ndarray, ids: np.ndarray) -> None:
         """Bounds from a sample; its rows are found again in their shards."""
         if len(x) >= self.k:
             for a in range(0, len(self.q), 4096):
                 who = np.arange(a, min(a + 4096, len(self.q)))
-                kth = np.partition(self.leave_out(self.q[who] @ x.T, who, only), len(x) - self.k, axis=1)[:, len(x) - self.k]
+                kth = np.partition(self.leave_out(self.q[who] @ x.T, who, ids)[0], len(x) - self.k, axis=1)[:, len(x) - self.k]
                 self.bound[who] = self.distance(kth, who)
 
-    def run(self, tree: Tree, vectors: np.ndarray, base: int, only: tuple[np.ndarray, np.ndarray] | None = None) -> None:
-        """vectors: the tree's rows without the added coordinate; base: number of the first."""
-        self.only = only
+    def run(self, tree: Tree, vectors: np.ndarray, base: int, ids: np.ndarray | None = None) -> None:
+        """vectors: the tree's rows without the added coordinate; base: number of the first; ids: the two least of each."""
+        self.ids = self.two_least(vectors) + [base, 0] if ids is None else ids
         stack = [(tree.root, np.arange(len(self.q)))]
         while stack:
             node, who = stack.pop()
@@ -101,7 +112,7 @@ class Search:
                 some = []
                 for child, (lo, hi) in zip((inside, outside), bounds):
                     gap = np.maximum(np.maximum(d - hi, lo - d), 0)
-                    near = gap * self.factor <= self.bound[who] * (1 + 1e-9) + 1e-9
+                    near = gap * self.factor <= self.bound[who] * (1 + 1e-9) + 1e-7 * np.sqrt(self.square[who])
                     some.append((float(gap.sum()), child, who[near]))
                 some.sort(key=lambda s: -s[0])  # the nearer child is popped first
                 stack += [s[1:] for s in some]
@@ -111,15 +122,16 @@ class Search:
     def _leaf(self, rows: np.ndarray, who: np.ndarray, vectors: np.ndarray, base: int) -> None:
         for a in range(0, len(who), 8192):
             w = who[a : a + 8192]
-            s = self.leave_out(self.q[w] @ vectors[rows].T, w, self.only and (self.only[0][rows], self.only[1][rows]))
+            s, least = self.leave_out(self.q[w] @ vectors[rows].T, w, self.ids[rows])
             better = s.max(1) >= self.score[w, -1]
-            w, s = w[better], s[better]
+            w, s, least = w[better], s[better], least[better]
             if not len(w):
                 continue
             score = np.concatenate((self.score[w], s), 1)
+            least = np.concatenate((self.id[w], least), 1)
             row = np.concatenate((self.row[w], np.where(s > -np.inf, rows + base, -1)), 1)
-            best = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
-            self.score[w], self.row[w] = np.take_along_axis(score, best, 1), np.take_along_axis(row, best, 1)
+            best = np.lexsort((least, -score), axis=1)[:, : self.k]
+            self.score[w], self.row[w], self.id[w] = (np.take_along_axis(x, best, 1) for x in (score, row, least))
             full = self.row[w, -1] >= 0
             self.bound[w[full]] = np.minimum(self.bound[w[full]], self.distance(self.score[w[full], -1], w[full]))
 
@@ -130,8 +142,9 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def _only(first, size) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(first, np.int64), np.asarray(size, np.int64) == 1
+def _two_least(ids) -> np.ndarray:
+    """The two least ids of each class, LAST for none, of lists of ids in order."""
+    return np.array([(*i[:2], LAST, LAST)[:2] for i in ids], np.int64).reshape(-1, 2)
 
 
 _HIT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("own", pa.int64()), ("hits", pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64()), ("rows", pa.int64())])))])
@@ -140,10 +153,10 @@ HIT = "a bigint, b bigint, own bigint, hits array<struct<score:double,vec_id:big
 
 def _searcher(shared, top: float, k: int, factor: float):
     def run(batches):
-        qa, qb, own, q, seeds, only = shared.value
+        qa, qb, own, q, seeds, least = shared.value
         has_own = np.array([i is not None for i in own], bool)
         found = Search(q, top, k, factor, np.array([i or 0 for i in own], np.int64), has_own)
-        found.seed(seeds, only)
+        found.seed(seeds, least)
         ids: list[list[dict]] = []
         waiting: list[np.ndarray] = []
 
@@ -151,8 +164,7 @@ def _searcher(shared, top: float, k: int, factor: float):
             x = np.concatenate(waiting)
             waiting.clear()
             lifted = np.concatenate((x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))[:, None]), 1)
-            here = ids[len(ids) - len(x) :]
-            found.run(Tree(lifted), x, len(ids) - len(x), _only([i[0]["vec_id"] for i in here], [len(i) for i in here]))
+            found.run(Tree(lifted), x, len(ids) - len(x), _two_least([e["vec_id"] for e in i] for i in ids[len(ids) - len(x) :]))
 
         for b in batches:
             x, of = _matrix(b["embedding"]), b["ids"].to_pylist()
@@ -198,14 +210,14 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, factor: float = FACT
     if not count:
         return empty
     top = classes.agg(F.sqrt(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] * (1 + 1e-12)
-    sample = classes.orderBy("a", "b").limit(SEEDS).select("embedding", F.expr("ids[0].vec_id").alias("first"), F.size("ids").alias("size")).collect()
-    seeds, only = np.array([r.embedding for r in sample], np.float64), _only([r.first for r in sample], [r.size for r in sample])
+    sample = classes.orderBy("a", "b").limit(SEEDS).select("embedding", F.expr("slice(ids.vec_id, 1, 2)").alias("least")).collect()
+    seeds, least = np.array([r.embedding for r in sample], np.float64), _two_least(r.least for r in sample)
     blocks = -(-count // block)
     spread = classes.repartition(max(1, min(-(-n // LEAF), max(spark.sparkContext.defaultParallelism, -(-n // (4 * SHARD))))))
     hits = None
     for i in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("b", "a", "own"), F.lit(blocks)) == i).toArrow()
-        shared = spark.sparkContext.broadcast((rows["a"].to_numpy(), rows["b"].to_numpy(), rows["own"].to_pylist(), _matrix(rows["embedding"]), seeds, only))
+        shared = spark.sparkContext.broadcast((rows["a"].to_numpy(), rows["b"].to_numpy(), rows["own"].to_pylist(), _matrix(rows["embedding"]), seeds, least))
         part = spread.select("ids", "embedding").mapInArrow(_searcher(shared, top, k + 1, factor), HIT)
         part = part.groupBy("a", "b", "own").agg(F.slice(F.sort_array(F.transform(F.flatten(F.collect_list("hits")), lambda h: F.struct((-h["score"]).alias("s"), h["vec_id"].alias("vec_id"), h["rows"].alias("rows")))), 1, k + 1).alias("hits"))
         part = materialise(part) if blocks > 1 else part

@@ -82,3 +82,21 @@ def test_rows_of_a_querys_own_id_take_no_place(spark):
     for block in (5, 32768):
         got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in op1.nearest(df, "vec_id % 20 = 0", block=block).collect()]
         assert sorted(got) == sorted(want)
+
+
+def test_ties_at_the_cut_go_to_the_smaller_ids(spark):
+    """Small integer vectors, most of whose scores tie, some ids on several rows."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in rng.integers(-1, 2, 7)]) for i in rng.permutation(3000)]
+    rows = [(i, v) for i, v in rows if any(v)]
+    rows += [(i, [float(x) for x in rng.permutation([1, 1, 0, 0, -1, 0, 1])]) for i in (40, 80, 41, 40, 80, 2000) for _ in range(6)]
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    want = []
+    for i, v in rows:
+        if i % 20 == 0:
+            s = x @ np.array(v)
+            best = np.lexsort((ids, -s))
+            best = best[ids[best] != i][:20]
+            want += [(i, n + 1, int(ids[j]), float(s[j])) for n, j in enumerate(best)]
+    got = [tuple(r) for r in op1.nearest(spark.createDataFrame([(i, v, "") for i, v in rows], ROWS), "vec_id % 20 = 0").collect()]
+    assert sorted(got) == sorted(want)
