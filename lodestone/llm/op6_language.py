@@ -194,36 +194,39 @@ def train(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Mode
 _RUN = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 
 
-def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """`docs` with lang_pred and score and, on request, the runs of words of one language."""
+def predict(docs: DataFrame, model: Model, spans: bool = False, clear: bool = False) -> DataFrame:
+    """`docs` with lang_pred and score and, on request, the runs of words of one language and `clear`, the mean over words of the best marginal."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
     run = ArrayType(StructType([StructField("lang", StringType()), StructField("words", LongType())]))
-    out = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())] + [StructField("runs", run)] * spans)
+    out = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())] + [StructField("runs", run)] * spans + [StructField("clear", DoubleType())] * clear)
     schema = to_arrow_schema(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(texts: list[str | None]):
         m = shared.value
-        pred, score, runs = ["und"] * len(texts), [0.0] * len(texts), [[]] * len(texts)
+        pred, score, runs, sure = ["und"] * len(texts), [0.0] * len(texts), [[]] * len(texts), [0.0] * len(texts)
         w = words_of(texts)
         if not m.langs or not len(w.hash):
-            return pred, score, runs
+            return pred, score, runs, sure
         g = m.marginals(w)
         total = np.concatenate((np.zeros((1, g.shape[1])), np.cumsum(g, axis=0, dtype=np.float64)))
         mean = (total[w.offset[1:]] - total[w.offset[:-1]]) / np.maximum(w.count, 1)[:, None]
         best = mean.argmax(1)
         word = g.argmax(1)
+        most = np.concatenate(([0.0], np.cumsum(g.max(1), dtype=np.float64)))
+        most = (most[w.offset[1:]] - most[w.offset[:-1]]) / np.maximum(w.count, 1)
         for d in np.flatnonzero(w.count).tolist():
             t = texts[d]
             if any(c.isalpha() for c in t):
                 pred[d], score[d] = m.langs[best[d]], float(min(1.0, max(0.0, mean[d, best[d]])))
+                sure[d] = float(min(1.0, max(0.0, most[d])))
                 if spans:
                     x = word[w.offset[d] : w.offset[d + 1]]
                     cut = np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x))
                     runs[d] = [{"lang": m.langs[x[a]], "words": int(b - a)} for a, b in zip(cut, cut[1:])]
-        return pred, score, runs
+        return pred, score, runs, sure
 
     def go(batches):
         for b in batches:
@@ -234,8 +237,8 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                 to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES)))
                 parts.append(label(texts[at:to]))
                 at = to
-            pred, score, runs = ([x for p in parts for x in p[i]] for i in range(3))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())] + [pa.array(runs, _RUN)] * spans, schema=schema)
+            pred, score, runs, sure = ([x for p in parts for x in p[i]] for i in range(4))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())] + [pa.array(runs, _RUN)] * spans + [pa.array(sure, pa.float64())] * clear, schema=schema)
 
     return docs.mapInArrow(go, out)
 
@@ -251,8 +254,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """Rejects documents whose language is `und` or whose score is below `least`; a null lang is filled in."""
+    """Rejects documents whose language is `und` or whose words are recognised below `least` in the mean, each in whatever language; a null lang is filled in."""
     rest = [c for c in docs.columns if c != "text"]
-    kept = predict(docs.select("text", F.struct(*rest).alias("rest")), train(docs.select("text", "lang"))).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    kept = predict(docs.select("text", F.struct(*rest).alias("rest")), train(docs.select("text", "lang")), clear=True).filter((F.col("lang_pred") != "und") & (F.col("clear") >= least))
     columns = {c: F.col("rest")[c] for c in rest} | {"text": F.col("text"), "lang": F.coalesce("rest.lang", "lang_pred")}
     return kept.select(*(columns[c].alias(c) for c in docs.columns))

@@ -46,3 +46,12 @@ def test_code_switched_words_and_edges(spark):
     full = train.withColumn("source", op6.F.lit("s"))
     kept = op6.known_language(full.unionByName(spark.createDataFrame([(99, "12", None, 0.0, "s")], full.schema)))
     assert kept.columns == full.columns and kept.filter("doc_id = 99").count() == 0 and kept.count() == 81
+
+
+def test_even_mixes_of_languages_stay(spark):
+    words = {v: [f"{v}{c}{v[::-1]}" for c in "bdfhkmp"] for v in ("ka", "zo", "ñe", "qui")}
+    text = lambda v, s: " ".join(words[v][(s + 3 * i) % 7] for i in range(20))
+    rows = [(i, text(v, i), v, 0.0) for i in range(30) for v in words]
+    rows += [(900, " ".join(text(v, 1) for v in words), "ka", 0.0), (901, " ".join(text(v, 2) for v in words), None, 0.0), (902, "12 34", "ka", 0.0)]
+    kept = {r.doc_id for r in op6.known_language(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {900, 901} <= kept and 902 not in kept and len(kept) == 32
