@@ -15,8 +15,9 @@ level, and only blocks of components that are still apart meet in pairs, so a gr
 of near copies costs about one pass however large it is.
 
 Defined results: null and wordless texts have no shingles and component_id =
-doc_id; repeated rows are equal sets and share a component; a null doc_id
-counts as the largest; other columns are ignored; an empty table gives an
+doc_id; repeated rows are equal sets and share a component; links are kept between
+sets, so rows that share a doc_id or have none are linked by their texts only; a null
+doc_id counts as the largest; other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -24,11 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .census import MISSING, SENT, chunks, count_chunks, read_replies, send, sent_table, texts_of
-from .common import components, materialise, table
+from .common import WORD, components, materialise, table
 from .words import Words, mix
 
 FREQUENT = 32  # chunks; shingles in more are indexed by combinations
@@ -102,8 +103,8 @@ def index_keys(hashes: np.ndarray, seen: np.ndarray, unique: np.ndarray, size: i
     return np.concatenate(keys).view(np.int64).tolist()
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("keys", pa.list_(pa.int64())), ("alone", pa.list_(pa.int64())), ("wide", pa.bool_()), ("tokens", pa.binary())])
-FOUND = "doc_id bigint, n bigint, c1 bigint, c2 bigint, keys array<bigint>, alone array<bigint>, wide boolean, tokens binary"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("keys", pa.list_(pa.int64())), ("alone", pa.list_(pa.int64())), ("wide", pa.bool_()), ("tokens", pa.binary())])
+FOUND = "doc_id bigint, n bigint, c1 bigint, c2 bigint, h bigint, g bigint, keys array<bigint>, alone array<bigint>, wide boolean, tokens binary"
 
 
 def _index(n: int, buckets: int, percent: int):
@@ -119,6 +120,7 @@ def _index(n: int, buckets: int, percent: int):
         rows = {f.name: [] for f in _FOUND}
         rows["doc_id"], rows["n"] = c.ids.tolist(), c.size.tolist()
         rows["c1"], rows["c2"] = c.digest[:, 0].tolist(), c.digest[:, 1].tolist()
+        rows["h"], rows["g"] = left["h"].to_pylist(), left["g"].to_pylist()
         for k in ("keys", "alone", "wide", "tokens"):
             rows[k] = [None] * len(c.ids)
         for d in c.classes.tolist():
@@ -245,9 +247,14 @@ def verified_components(classes: DataFrame, percent: int, block: int) -> DataFra
     return components(links.unionByName(more))
 
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    dealt, parts, buckets = chunks(docs.select("doc_id", "text"))
+def _hashes() -> list:
+    """Two hashes that tell texts apart."""
+    return [F.xxhash64("text").alias("h"), F.xxhash64(F.lit("g"), "text").alias("g")]
+
+
+def _joined(docs: DataFrame, n: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their set, c1 and c2; for each set its component `comp` and its first row: doc_id, h, g)."""
+    dealt, parts, buckets = chunks(docs.select("doc_id", "text", *_hashes()))
     replies = count_chunks(dealt.groupBy("chunk").applyInArrow(_ask(n, buckets), SENT)).repartition(parts, "chunk")
     found = materialise(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_index(n, buckets, percent), FOUND))
     indexed = found.filter("tokens IS NOT NULL")
@@ -257,21 +264,35 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOC
     entries = single.unionByName(alone).groupBy("key", "c1").agg(F.max("wide").alias("wide"))
     pivots = entries.groupBy("key").agg(F.min("c1").alias("b"), F.count("*").alias("m"), F.max("wide").alias("wide")).filter("m > 1 AND wide").select("key", "b")
     groups = components(entries.select("key", F.col("c1").alias("a")).join(pivots, "key").select("a", "b"))
-    classes = indexed.join(groups.select(F.col("node").alias("c1"), F.col("comp").alias("grp")), "c1").groupBy("grp", "c1", "c2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    comp = verified_components(materialise(classes.select("grp", "node", "n", "tokens")), percent, block)
-    least = found.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"))
-    named = least.join(comp, "node", "left").select("c1", "c2", F.coalesce("comp", "node").alias("comp"))
+    classes = indexed.join(groups.select(F.col("node").alias("c1"), F.col("comp").alias("grp")), "c1").groupBy("grp", "c1", "c2").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    comp = verified_components(materialise(classes.select("grp", F.col("c1").alias("node"), "n", "tokens")), percent, block)
+    sets = found.filter("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "h", "g")).alias("first"))
+    return found, sets.join(comp.withColumnRenamed("node", "c1"), "c1", "left").select("c1", "c2", "first", F.coalesce("comp", "c1").alias("comp"))
+
+
+def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    found, sets = _joined(docs, n, percent, block)
+    sets = materialise(sets)
+    named = sets.join(sets.groupBy("comp").agg(F.min("first.doc_id").alias("least")), "comp").select("c1", "c2", "least")
     doc = F.expr(f"nullif(doc_id, {MISSING})")
     full = found.filter("n > 0").select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2"])
-    return full.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.expr(f"nullif(comp, {MISSING})").alias("component_id")).unionByName(
+    return full.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.expr(f"nullif(least, {MISSING})").alias("component_id")).unionByName(
         found.filter("n = 0").select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), doc.alias("component_id"))
     )
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The documents that stay: the least doc_id of each component.  A repeated doc_id stays once per row that bears it."""
-    kept = ngram_join(docs).filter("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id"), "left_semi")
+    """The documents that stay: one row of each component, that of the least doc_id; texts without words resemble none and stay."""
+    _, sets = _joined(docs, 5, 80, BLOCK)
+    first = sets.groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"), F.col("first.g").alias("_g"))
+    words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    h, g = _hashes()
+    keyed = docs.filter(words).withColumns({"_id": F.coalesce("doc_id", F.lit(MISSING)), "_h": h, "_g": g})
+    # rows of one doc_id and text differ in other columns at most
+    same = Window.partitionBy("_id", "_h", "_g").orderBy(F.xxhash64(*docs.columns))
+    one = keyed.join(first, ["_id", "_h", "_g"], "left_semi").withColumn("_n", F.row_number().over(same)).filter("_n = 1")
+    return one.select(*docs.columns).unionByName(docs.filter(~words))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,3 +131,20 @@ def test_blocks_of_one_group_lose_no_link(spark):
     for block in (4, 16, 1000):
         got = {r.node: r.comp for r in op8.verified_components(classes, 80, block).collect()}
         assert {d: got.get(d, d) for d in sets} == {d: find(d) for d in sets}
+
+
+def test_null_and_repeated_doc_ids_link_by_text_only(spark):
+    five, nine = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    other, alone = (" ".join(f"{c}{i}" for i in range(60)) for c in "cd")
+    rows = [(5, five), (9, nine), (None, five + " x"), (None, nine + " y"), (None, other), (None, other + " z"), (None, other), (7, alone), (7, alone), (7, five + " w"), (8, nine + " v"), (None, None), (3, " ")]
+    df = spark.createDataFrame([(d, t, None, None) for d, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.component_id) for r in op8.ngram_join(df).collect()), key=repr)
+    want = [(5, 5), (9, 8), (None, 5), (None, 8), (None, None), (None, None), (None, None), (7, 7), (7, 7), (7, 5), (8, 8), (None, None), (3, 3)]
+    assert got == sorted(want, key=repr)
+    kept = op8.one_per_group(df)
+    assert kept.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    third = [t for d, t in kept if d is None and t]
+    assert len(third) == 1 and third[0] in (other, other + " z")
+    assert sorted((x for x in kept if x[0] is not None)) == [(3, " "), (5, five), (7, alone), (8, nine + " v")]
+    assert len(kept) == 6
