@@ -8,7 +8,7 @@ languages.  Forward-backward gives each word's marginals; a document's
 language has the largest mean marginal, which is its score.
 
 The model is fitted on a bounded sample, at most `sample` documents a language
-(those first by a hash of the text) of at most `longest` characters; every
+(different texts, those first by a hash of the text) of at most `longest` characters; every
 prediction reads the whole text.
 
 Defined results: a null text, or one without letters, is `und` with score 0; ties
@@ -183,10 +183,13 @@ def fit(texts: list[str], labels: list[str], sequences: int = 4000, length: int
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
-    """Fit on at most `sample` documents (text, lang) a language."""
+    """Fit on at most `sample` different texts (text, lang) a language."""
     h = F.xxhash64("text")
     pool = docs.filter(F.col("lang").isNotNull() & (F.length("text").between(1, longest))).select("text", "lang", h.alias("h"))
-    few = pool.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= sample)
+    # copies share a hash: the first hashes are found without the texts, then each text counts once
+    first = pool.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= sample)
+    texts = pool.join(F.broadcast(first.select("lang", "h")), ["lang", "h"], "left_semi").distinct()
+    few = texts.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= sample)
     rows = sorted((r.lang, r.text) for r in few.select("text", "lang").toLocalIterator())
     return fit([t for _, t in rows], [v for v, _ in rows])
 

@@ -48,6 +48,14 @@ def test_code_switched_words_and_edges(spark):
     assert kept.columns == full.columns and kept.filter("doc_id = 99").count() == 0 and kept.count() == 81
 
 
+def test_sample_counts_different_texts(spark, monkeypatch):
+    rows = [(i % 5 if i < 500 else i, f"same{i % 5}" if i < 500 else f"text {i}", "aa", 0.0) for i in range(520)]
+    monkeypatch.setattr(op6, "fit", lambda texts, labels: list(zip(labels, texts)))
+    got = op6.train(spark.createDataFrame(rows, DOCS), sample=25)
+    assert got == sorted({("aa", t) for _, t, _, _ in rows})
+    assert len(op6.train(spark.createDataFrame(rows, DOCS), sample=10)) == 10
+
+
 def test_even_mixes_of_languages_stay(spark):
     words = {v: [f"{v}{c}{v[::-1]}" for c in "bdfhkmp"] for v in ("ka", "zo", "ñe", "qui")}
     text = lambda v, s: " ".join(words[v][(s + 3 * i) % 7] for i in range(20))
