@@ -13,8 +13,8 @@ from ..errors import Refusal
 from ..functions.kinds import kind
 from .predicates import column
 
-#: Names that look like keys, tried first.
-KEYISH = re.compile(r"(^|[_.])(id|key|pk|uuid|guid)$", re.I)
+#: Names that look like keys, tried first: a fixed pattern.
+LIKELY_KEY = re.compile(r"(^|[_.])(id|key|pk|uuid|guid)$", re.I)
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def schema_diff(a: T.StructType, b: T.StructType) -> SchemaDiff:
 def suggest_key(a: DataFrame, b: DataFrame) -> str | None:
     """A column that is unique and never NULL on both sides; names that look like keys first.  One aggregate a side."""
     names = [f.name for f in a.schema.fields if f.name in b.columns and kind(f.dataType) != "nested"]
-    names.sort(key=lambda n: not KEYISH.search(n))
+    names.sort(key=lambda n: not LIKELY_KEY.search(n))
     if not names:
         return None
 

@@ -55,25 +55,24 @@ def _grouped(df: DataFrame, keys: list[str], mode: str):
     return df.groupBy(*cols)
 
 
-def modes(df: DataFrame, keys: list[str], mode: str, m: Metric, order_key: str | None) -> DataFrame:
-    """keys, _gid and the most frequent value of m.column.
+def modes(df: DataFrame, keys: list[str], sets: list[tuple[int, ...]], m: Metric, order_key: str | None) -> DataFrame:
+    """`_k0`.., `_gid` and, as `_v`, the most frequent value of m.column.
 
     Ties go to the value seen first by `order_key`, or else to the least.  Values are
-    counted before they are compared, so no group's values meet in one buffer.
+    counted once for the finest groups, and grouping sets add those counts up, so no
+    group's values meet in one buffer and the rows are read once.
     """
     t = df.schema[m.column].dataType
     value = column(m.column)
     seen = F.min(column(order_key)) if order_key else F.min(text(value, t))
-    sets = [[keys[i] for i in s] for s in grouping_sets(len(keys), mode)]
-    out = None
-    for s in sets:
-        by = [column(k).alias(f"_k{keys.index(k)}") for k in s]
-        counts = df.filter(value.isNotNull()).groupBy(*by, value.alias("_v")).agg(F.count("*").alias("_n"), seen.alias("_at"))
-        best = counts.groupBy(*(f"_k{keys.index(k)}" for k in s)).agg(F.min_by("_v", F.struct((-F.col("_n")).alias("n"), "_at")).alias(m.name))
-        gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
-        row = best.select(*((F.col(f"_k{i}") if k in s else F.lit(None).cast(df.schema[k].dataType).alias(f"_k{i}")) for i, k in enumerate(keys)), F.lit(gid).cast("long").alias("_gid"), m.name)
-        out = row if out is None else out.unionByName(row)
-    return out
+    names = [f"_k{i}" for i in range(len(keys))]
+    counts = df.filter(value.isNotNull()).groupBy(*(column(k).alias(n) for k, n in zip(keys, names)), value.alias("_v")).agg(F.count("*").alias("_n"), seen.alias("_at"))
+    if sets == [tuple(range(len(keys)))]:
+        counts = counts.withColumn("_gid", F.lit(0).cast("long"))
+    else:
+        listed = [[*(F.col(names[i]) for i in s), F.col("_v")] for s in sets]
+        counts = counts.groupingSets(listed, *map(F.col, (*names, "_v"))).agg(F.sum("_n").alias("_n"), F.min("_at").alias("_at"), F.shiftright(F.grouping_id().cast("long"), 1).alias("_gid"))
+    return counts.groupBy(*names, "_gid").agg(F.min_by("_v", F.struct((-F.col("_n")).alias("n"), "_at")).alias("_v"))
 
 
 def _points(m: Metric) -> list[float]:
@@ -85,52 +84,51 @@ def _quantile(m: Metric, q: Column, points: list[float]) -> Column:
     return at[1] - at[0] if m.kind == "IQR" else at[0]
 
 
-def quantile_frames(df: DataFrame, keys: list[str], mode: str, c: str, ms: list[Metric]) -> DataFrame:
-    """keys, _gid and the quantile metrics of one column, by bracketing rather than by a buffer of values."""
-    points = sorted({p for m in ms for p in _points(m)})
-    out = None
-    for s in grouping_sets(len(keys), mode):
-        kept = [keys[i] for i in s]
-        q = exact_quantiles(df, kept, number(column(c), df.schema[c].dataType), points)
-        gid = sum(1 << (len(keys) - 1 - i) for i in range(len(keys)) if i not in s)
-        row = q.select(*((F.col(f"_k{s.index(i)}") if i in s else F.lit(None).cast(df.schema[k].dataType)).alias(f"_k{i}x") for i, k in enumerate(keys)), F.lit(gid).cast("long").alias("_gid"), *(_quantile(m, F.col("q"), points).alias(m.name) for m in ms))
-        row = row.withColumnsRenamed({f"_k{i}x": f"_k{i}" for i in range(len(keys))})
-        out = row if out is None else out.unionByName(row)
-    return out
+def _measured(df: DataFrame, keys: list[str], ms: tuple[Metric, ...], mode: str, order_key: str | None) -> DataFrame:
+    """`_k0`.. (the keys) and `_m0`.. (the metrics): names of its own, so that no alias can clash with a key or another alias.
 
+    What merges by partial aggregates is found in one pass; quantiles of one column
+    together, by counting bins (`quantiles`); MODE by counting values.
+    """
+    plain = df.select(*(column(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(column(c) for c in df.columns)) if keys else df
+    names = [f"_k{i}" for i in range(len(keys))]
+    sets = grouping_sets(len(keys), mode)
+    several = len(sets) > 1
+    gid = F.grouping_id().cast("long") if several else F.max(F.lit(0)).cast("long")
+    exprs = [metric(m, df.schema).alias(f"_m{i}") for i, m in enumerate(ms) if m.kind not in ("MODE", "IQR", *QUANTILES)]
+    out, frames = None, []
+    columns: dict[str, list[int]] = {}
+    for i, m in enumerate(ms):
+        if m.kind in ("IQR", *QUANTILES):
+            columns.setdefault(m.column, []).append(i)
+        elif m.kind == "MODE":
+            frames.append(modes(df, keys, sets, m, order_key).withColumnRenamed("_v", f"_m{i}"))
+    for c, at in columns.items():
+        points = sorted({p for i in at for p in _points(ms[i])})
+        q, complete = exact_quantiles(df, keys, number(column(c), df.schema[c].dataType), points, sets)
+        q = q.select(*names, "_gid", *(_quantile(ms[i], F.col("q"), points).alias(f"_m{i}") for i in at))
+        if complete and not exprs and out is None:
+            out = q  # every group is there already
+        else:
+            frames.append(q)
+    if out is None:
+        out = (_grouped(plain, names, mode) if keys else plain.groupBy()).agg(*exprs, gid.alias("_gid"))
+    for other in frames:
+        cond = F.coalesce(out["_gid"], F.lit(0)) == other["_gid"]
+        for n in names:
+            cond = cond & out[n].eqNullSafe(other[n])
+        out = out.join(other, cond, "left").drop(other["_gid"], *(other[n] for n in names))
+    return out.select(*names, *(f"_m{i}" for i in range(len(ms))))
 
-def aggregate(df: DataFrame, q: QuerySpec, bracket: bool = False) -> DataFrame:
-    """Group columns in their order, then metrics.
 
-    Quantiles of one column share a single buffer of value counts; with `bracket`
-    they are found by bracketing instead, for groups of more distinct values than fit in memory.
-    """
+def aggregate(df: DataFrame, q: QuerySpec) -> DataFrame:
+    """Group columns in their order, then metrics; without metrics, the distinct groups."""
     keys = list(dict.fromkeys(q.group_by))
+    mode = q.group_mode if len(grouping_sets(len(keys), q.group_mode)) > 1 else "flat"
     if not q.metrics:
         plain = df.select(*(column(k) for k in keys))
-        return plain.distinct() if q.group_mode == "flat" else _grouped(plain, keys, q.group_mode).agg(F.grouping_id().alias("_gid")).drop("_gid")
-    sets = q.group_mode in ("rollup", "cube") and len(keys) > 0 and (q.group_mode == "rollup" or len(keys) <= CUBE_COLUMNS)
-    mode = q.group_mode if sets else "flat"
-    gid = [F.grouping_id().cast("long").alias("_gid")] if sets else [F.max(F.lit(0)).cast("long").alias("_gid")]
-    by_column: dict[str, list[Metric]] = {}
-    for m in q.metrics:
-        if m.kind in QUANTILES or m.kind == "IQR":
-            by_column.setdefault(m.column, []).append(m)
-    buffers = {c: sorted({p for m in ms for p in _points(m)}) for c, ms in by_column.items()} if not bracket else {}
-    exprs = [metric(m, df.schema).alias(m.name) for m in q.metrics if m.kind != "MODE" and m.column not in by_column or m.kind not in ("MODE", "IQR", *QUANTILES)]
-    exprs += [F.percentile(number(column(c), df.schema[c].dataType), points).alias(f"_q_{i}") for i, (c, points) in enumerate(buffers.items())]
-    out = (_grouped(df, keys, q.group_mode) if keys else df.groupBy()).agg(*exprs, *gid)
-    for i, (c, points) in enumerate(buffers.items()):
-        out = out.select("*", *(_quantile(m, F.col(f"_q_{i}"), points).alias(m.name) for m in by_column[c])).drop(f"_q_{i}")
-    frames = [modes(df, keys, mode, m, q.order_key) for m in q.metrics if m.kind == "MODE"]
-    if bracket:
-        frames += [quantile_frames(df, keys, mode, c, ms) for c, ms in by_column.items()]
-    for other in frames:
-        cond = F.coalesce(out["_gid"], F.lit(0)) == other["_gid"]
-        for i, k in enumerate(keys):
-            cond = cond & out[k].eqNullSafe(other[f"_k{i}"])
-        out = out.join(other, cond, "left").drop(other["_gid"], *(other[f"_k{i}"] for i in range(len(keys))))
-    return out.select(*(column(k) for k in keys), *(column(m.name) for m in q.metrics))
+        return plain.distinct() if mode == "flat" else _grouped(plain, keys, mode).agg(F.grouping_id().alias("_gid")).drop("_gid")
+    return _measured(df, keys, q.metrics, mode, q.order_key)
 
 
 def pivot_values(df: DataFrame, c: str, order_key: str | None, most: int = PIVOT_VALUES) -> tuple[list, bool]:
@@ -141,50 +139,72 @@ def pivot_values(df: DataFrame, c: str, order_key: str | None, most: int = PIVOT
     return [r.v for r in rows[:most]], len(rows) > most
 
 
-def pivot(df: DataFrame, q: QuerySpec) -> DataFrame:
-    """The last group column's values as columns; values beyond the cap are one column `(other)`, aggregated from their rows."""
+def pivot(df: DataFrame, q: QuerySpec) -> tuple[DataFrame, list[str]]:
+    """(frame of `_k0`.. and the pivoted columns `_p0`.., their names).
+
+    The last group column's values become columns; values beyond the cap are one
+    column `(other)`, aggregated from their rows.  Groups are aggregated before they are turned, so
+    every metric works, and a table of any width compiles.
+    """
     if not q.group_by:
         raise Refusal("pivot needs a column", "PIVOT needs a group column")
     *dims, c = dict.fromkeys(q.group_by)
-    ms = q.metrics or (Metric("COUNT", c),)
-    if any(m.kind == "MODE" for m in ms):
-        raise Refusal("pivot of MODE", "MODE cannot be pivoted")
     values, more = pivot_values(df, c, q.order_key)
     label = F.coalesce(text(column(c), df.schema[c].dataType), F.lit("(null)"))
-    label = F.when(label.isin(values), label).otherwise("(other)") if more else label
     shown = [*values, *["(other)"] * more]
-    counted = df.withColumn("_pivot", label)
-    default = not q.metrics
-    exprs = [(F.count(F.lit(1)) if default else metric(m, df.schema)).alias(m.name) for m in ms]
-    wide = counted.groupBy(*(column(d) for d in dims)).pivot("_pivot", shown).agg(*exprs)
-    if len(ms) == 1:
-        return wide.select(*(column(d) for d in dims), *(column(v) for v in shown))
-    return wide.select(*(column(d) for d in dims), *(column(f"{v}_{m.name}").alias(f"{v} · {m.name}") for v in shown for m in ms))
-
-
-def _sort_names(q: QuerySpec, columns: list[str]) -> tuple[Sort, ...]:
-    """Order keys by output column: an alias or metric name, a group column, or the first metric on that column."""
+    place = F.array_position(F.array(*map(F.lit, values)), label) if values else F.lit(0).cast("long")
+    ms = q.metrics or (Metric("COUNT_ALL", None, c),)
+    # the place of the value stands for it, one beyond the last for all others
+    rows = df.withColumn("_place", F.when(place > 0, place - 1).otherwise(len(values)).cast("int"))
+    long = _measured(rows, [*dims, "_place"], ms, "flat", q.order_key)
+    at = f"_k{len(dims)}"
+    cells = F.struct(*(F.col(f"_m{i}") for i in range(len(ms))))
+    wide = long.groupBy(*(f"_k{i}" for i in range(len(dims)))).agg(F.map_from_entries(F.collect_list(F.struct(F.col(at), cells))).alias("_cells"))
+    cell = [(v, m, F.element_at("_cells", F.lit(j))[f"_m{i}"]) for j, v in enumerate(shown) for i, m in enumerate(ms)]
+    names = [v if len(ms) == 1 else f"{v} · {m.name}" for v, m, _ in cell]
+    return wide.select(*(f"_k{i}" for i in range(len(dims))), *(x.alias(f"_p{i}") for i, (_, _, x) in enumerate(cell))), names
+
+
+def _sort_columns(q: QuerySpec, keys: list[str], metrics: list[tuple[str, str | None]]) -> tuple[Sort, ...]:
+    """Order keys as internal columns: an alias or metric name, a group column, or the first metric on that column."""
     out = []
     for s in q.sort:
-        name = s.column if s.column in columns else next((m.name for m in q.metrics if m.column == s.column and m.name in columns), None)
-        if name is None:
+        named = [f"_m{i}" for i, (name, _) in enumerate(metrics) if name == s.column]
+        grouped = [f"_k{i}" for i, k in enumerate(keys) if k == s.column]
+        over = [f"_m{i}" for i, (_, c) in enumerate(metrics) if c == s.column]
+        found = named + grouped + over
+        if not found:
             raise Refusal("order by", f"cannot order by {s.column}: it is not in the result")
-        out.append(replace(s, column=name))
+        out.append(replace(s, column=found[0]))
     return tuple(out)
 
 
-def execute(df: DataFrame, q: QuerySpec, bracket: bool = False) -> Result:
+def _grouped_result(rows: DataFrame, q: QuerySpec) -> DataFrame:
+    keys = list(dict.fromkeys(q.group_by))
+    if q.group_mode == "pivot":
+        wide, names = pivot(rows, q)
+        keys = keys[:-1]
+        sorts = _sort_columns(q, keys, [])
+        out = order_by(wide, sorts) if sorts else wide
+        out = out.limit(q.limit) if q.limit is not None else out
+        return out.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)), *(F.col(f"_p{i}").alias(n) for i, n in enumerate(names)))
+    out = aggregate(rows, q)
+    if not q.metrics:
+        out = out.select(*(column(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    sorts = _sort_columns(q, keys, [(m.name, m.column) for m in q.metrics])
+    out = order_by(out, sorts) if sorts else out
+    out = out.limit(q.limit) if q.limit is not None else out
+    return out.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)), *(F.col(f"_m{i}").alias(m.name) for i, m in enumerate(q.metrics)))
+
+
+def execute(df: DataFrame, q: QuerySpec) -> Result:
     where, skipped = compile_where(q.filters, df.schema)
     rows = df.filter(where) if where is not None else df
     if q.aggregates:
-        out = pivot(rows, q) if q.group_mode == "pivot" else aggregate(rows, q, bracket)
-        sorts = _sort_names(q, out.columns)
-        out = order_by(out, sorts) if sorts else out
-    else:
-        unknown = [c for c in q.select if c not in df.columns]
-        if unknown:
-            raise Refusal("no such column", f"no column {unknown[0]}")
-        out = order_by(rows, q.sort, q.order_key) if q.sort else rows
-        out = out.limit(q.limit) if q.limit is not None else out
-        return Result(out.select(*(column(c) for c in q.select)) if q.select else out, tuple(skipped))
-    return Result(out.limit(q.limit) if q.limit is not None else out, tuple(skipped))
+        return Result(_grouped_result(rows, q), tuple(skipped))
+    unknown = [c for c in q.select if c not in df.columns]
+    if unknown:
+        raise Refusal("no such column", f"no column {unknown[0]}")
+    out = order_by(rows, q.sort, q.order_key) if q.sort else rows
+    out = out.limit(q.limit) if q.limit is not None else out
+    return Result(out.select(*(column(c) for c in q.select)) if q.select else out, tuple(skipped))

@@ -5,6 +5,8 @@ Listing and reading run on the executors; the driver sees aggregates.
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
 import json
 
 import pyarrow as pa
@@ -14,10 +16,14 @@ from pyspark.sql import functions as F
 SUFFIXES = (".parquet", ".parq", ".pq")
 CHUNKS = (
     "path string, file_bytes bigint, file_rows bigint, created_by string, key_values string, problem string, row_group int, group_rows bigint, group_bytes bigint, column string, signature string, codec string, "
-    "encodings string, compressed bigint, uncompressed bigint, nulls bigint, distinct bigint, min string, max string, min_number double, max_number double, has_index boolean"
+    "encodings string, compressed bigint, uncompressed bigint, nulls bigint, distinct bigint, kind string, min string, max string, min_key string, max_key string, has_index boolean"
 )
 
 
+#: Names of Parquet files, whatever the case of the suffix, as Spark's readers take them.
+GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x[1:]) for x in SUFFIXES) + "}"
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length) of the Parquet files at or below a path; hidden files and others are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
@@ -34,11 +40,45 @@ def _signature(c) -> str:
     return f"{c.physical_type}({c.length or 0}) {kind} {repeated}"
 
 
-def _number(v):
-    try:
-        return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v.timestamp() * 1000 if hasattr(v, "timestamp") else None
-    except (TypeError, ValueError, OverflowError):
+def order_key(v) -> str | None:
+    """A text whose code point order is the order of the values of one kind: exact for numbers of any size, times to the microsecond, UTF-8 for texts."""
+    if v is None:
         return None
+    if isinstance(v, bool):
+        return str(int(v))
+    if isinstance(v, (int, float, decimal.Decimal)):
+        d = decimal.Decimal(repr(v) if isinstance(v, float) else v)
+        if not d.is_finite():
+            return None if d.is_nan() else "9" if d > 0 else "0"
+        if not d:
+            return "4"
+        sign, digits, exponent = d.as_tuple()
+        text = "".join(map(str, digits)).rstrip("0")
+        head = f"{len(digits) + exponent + 50_000:06d}{text}"
+        # a negative number orders by the complement of its digits, and a longer one first
+        return "6" + head if not sign else "2" + "".join(str(9 - int(c)) for c in head) + "~"
+    if isinstance(v, dt.datetime):
+        v = v.astimezone(dt.timezone.utc).replace(tzinfo=None) if v.tzinfo else v
+        return f"{v.year:04d}-{v:%m-%d %H:%M:%S.%f}"
+    if isinstance(v, dt.date):
+        return f"{v.year:04d}-{v:%m-%d} 00:00:00.000000"
+    if isinstance(v, dt.time):
+        return v.strftime("%H:%M:%S.%f")
+    return v.hex() if isinstance(v, bytes) else str(v)
+
+
+def _kind(c) -> str:
+    """The kind of a column chunk's values: number (exact), float, string, bool, temporal or binary."""
+    logical = c.logical_type.type if c.logical_type else "NONE"
+    if logical in ("DATE", "TIME", "TIMESTAMP") or c.physical_type == "INT96":
+        return "temporal"
+    if logical in ("STRING", "ENUM", "JSON", "UUID"):
+        return "string"
+    if c.physical_type == "BOOLEAN":
+        return "bool"
+    if c.physical_type in ("FLOAT", "DOUBLE"):
+        return "float"
+    return "number" if logical == "DECIMAL" or c.physical_type in ("INT32", "INT64") else "binary"
 
 
 def _open(path: str):
@@ -55,11 +95,14 @@ def arrow_schema(path: str) -> pa.Schema:
         return pq.read_schema(f)
 
 
-def read_group(path: str, group: int) -> pa.Table:
+def read_group(path: str, group: int, columns: list[str] | None = None) -> pa.Table:
+    """A row group; of `columns` those that the file has."""
     import pyarrow.parquet as pq
 
     with _open(path) as f:
-        return pq.ParquetFile(f).read_row_group(group)
+        file = pq.ParquetFile(f)
+        here = None if columns is None else [c for c in columns if c in file.schema_arrow.names]
+        return file.read_row_group(group, columns=here)
 
 
 def read_footer(path: str, size: int) -> list[dict]:
@@ -73,6 +116,7 @@ def read_footer(path: str, size: int) -> list[dict]:
         return [base | {"problem": str(e)[:200]}]
     base |= {"file_rows": m.num_rows, "created_by": m.created_by, "key_values": json.dumps({k.decode("utf-8", "replace"): v.decode("utf-8", "replace") for k, v in (m.metadata or {}).items()})}
     signatures = {m.schema.column(i).path: _signature(m.schema.column(i)) for i in range(m.num_columns)}
+    kinds = {m.schema.column(i).path: _kind(m.schema.column(i)) for i in range(m.num_columns)}
     out = []
     for g in range(m.num_row_groups):
         rg = m.row_group(g)
@@ -83,10 +127,10 @@ def read_footer(path: str, size: int) -> list[dict]:
             out.append(base | {
                 "row_group": g, "group_rows": rg.num_rows, "group_bytes": rg.total_byte_size, "column": c.path_in_schema, "signature": signatures[c.path_in_schema], "codec": c.compression, "encodings": ",".join(sorted(set(c.encodings))),
                 "compressed": c.total_compressed_size, "uncompressed": c.total_uncompressed_size, "nulls": s.null_count if s is not None and s.has_null_count else None, "distinct": s.distinct_count if s is not None and s.has_distinct_count else None,
-                "min": None if lo is None else str(lo), "max": None if hi is None else str(hi), "min_number": _number(lo), "max_number": _number(hi), "has_index": bool(c.has_column_index),
+                "kind": kinds[c.path_in_schema], "min": None if lo is None else str(lo), "max": None if hi is None else str(hi), "min_key": order_key(lo), "max_key": order_key(hi), "has_index": bool(c.has_column_index),
             })
     if not out:
-        out = [base | {"column": p, "signature": s} for p, s in signatures.items()]
+        out = [base | {"column": p, "signature": s, "kind": kinds[p]} for p, s in signatures.items()]
     return out
 
 
@@ -111,26 +155,30 @@ def row_groups(chunks: DataFrame) -> DataFrame:
 
 
 def columns(chunks: DataFrame) -> DataFrame:
-    """Folded statistics of each column over all row groups; `exact` where every group has a range, `nulls_known` where every one counts NULLs."""
+    """Folded statistics of each column over all row groups, in the order of its kind; `exact` where every group has a range, `nulls_known` where every one counts NULLs."""
     c = chunks.filter("row_group IS NOT NULL")
-    numeric = F.count("min_number") == F.count("min")
     return c.groupBy("column").agg(
-        F.count("*").alias("chunks"), F.sum("compressed").alias("compressed"), F.sum("uncompressed").alias("uncompressed"), F.array_join(F.array_sort(F.collect_set("codec")), ",").alias("codecs"),
-        F.when(numeric, F.min_by("min", "min_number")).otherwise(F.min("min")).alias("min"), F.when(numeric, F.max_by("max", "max_number")).otherwise(F.max("max")).alias("max"),
+        F.count("*").alias("chunks"), F.sum("compressed").alias("compressed"), F.sum("uncompressed").alias("uncompressed"), _listed("codec").alias("codecs"), _listed("encodings").alias("encodings"),
+        F.min_by("min", "min_key").alias("min"), F.max_by("max", "max_key").alias("max"),
         F.sum("nulls").alias("nulls"), (F.count("nulls") == F.count("*")).alias("nulls_known"), (F.count("min") == F.count("*")).alias("exact"),
     )
 
 
+def _listed(c: str):
+    """The different parts of a column of lists by commas."""
+    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split(c, ","))))), ",")
+
+
 def key_values(chunks: DataFrame) -> DataFrame:
     kv = chunks.groupBy("path").agg(F.first("key_values").alias("kv"))
     return kv.select("path", F.explode(F.from_json("kv", "map<string,string>")))
 
 
 def shape(chunks: DataFrame) -> DataFrame:
-    """One row: files, rows, columns, row groups, sizes, codecs, writers."""
+    """One row: files, rows, columns, row groups, sizes, codecs, encodings, writers."""
     f = chunks.filter("problem IS NULL").groupBy("path").agg(F.first("file_rows").alias("rows"), F.first("file_bytes").alias("bytes"), F.countDistinct("row_group").alias("groups"))
     total = f.agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sum("groups").alias("row_groups"))
-    more = chunks.agg(F.count_distinct("column").alias("columns"), F.array_join(F.array_sort(F.collect_set("codec")), ",").alias("codecs"), F.array_join(F.array_sort(F.collect_set("created_by")), ",").alias("writers"))
+    more = chunks.agg(F.count_distinct("column").alias("columns"), _listed("codec").alias("codecs"), _listed("encodings").alias("encodings"), F.array_join(F.array_sort(F.collect_set("created_by")), ",").alias("writers"))
     return total.crossJoin(more)  # one row each
 
 

@@ -22,7 +22,7 @@ from lodestone.plans.report import cancellable, plan_report, scope
 from lodestone.plans.spec import METRICS, Filter, Metric, QuerySpec, Sort, display_order, scope_to, toggle_sort
 from lodestone.plans.sql import parse_sql, write_sql
 from lodestone.sources import export, footer
-from lodestone.sources.table import Catalogue, open_table
+from lodestone.sources.table import HIVE_NULL, Catalogue, open_table
 from lodestone.streaming.incremental import read_stream, running_aggregate
 
 NAN, INF = float("nan"), float("inf")
@@ -95,21 +95,57 @@ def test_partitions_do_not_matter(spark):
     df = spark.createDataFrame(rows, "i int, g1 string, g2 int, x double, y int")
     for mode in ("flat", "rollup", "cube"):
         q = QuerySpec(group_by=("g1", "g2"), group_mode=mode, metrics=tuple(Metric(k, None if k == "COUNT_ALL" else "x", k) for k in METRICS if k != "MODE") + (Metric("MODE", "y", "MODE"),), order_key="i")
-        brackets = sorted((tuple(round(v, 7) if isinstance(v, float) else v for v in r) for r in execute(df, q, bracket=True).df.collect()), key=repr)
         got = [sorted((tuple(round(v, 7) if isinstance(v, float) else v for v in r) for r in execute(df.repartition(n), q).df.collect()), key=repr) for n in (1, 4, 17)]
-        assert brackets == got[0] == got[1] == got[2] and len(got[0]) == {"flat": 12, "rollup": 16, "cube": 20}[mode]
+        assert got[0] == got[1] == got[2] and len(got[0]) == {"flat": 12, "rollup": 16, "cube": 20}[mode]
 
 
-def test_bracketed_quantiles_are_exact(spark):
+def test_quantiles_are_exact(spark):
     import numpy as np
 
     from lodestone.operators.quantiles import exact_quantiles
 
     rng = np.random.default_rng(3)
-    for values in (rng.normal(size=5000), np.repeat([1.0, 2.0], [4000, 1000]), np.array([5.0]), np.round(rng.exponential(size=3000), 1)):
+    tails = np.concatenate((rng.normal(size=3000), [1e300, -1e300, 1.7e308, 1e-300]))
+    for values in (rng.normal(size=5000), np.repeat([1.0, 2.0], [4000, 1000]), np.array([5.0]), np.round(rng.exponential(size=3000), 1), tails, np.exp(rng.normal(size=4000) * 30), np.array([np.inf, 1.0, np.inf, -np.inf, 2.0])):
         df = spark.createDataFrame([(float(v),) for v in values], "x double")
-        got = exact_quantiles(df, [], F.col("x"), [0.0, 0.25, 0.5, 0.99, 1.0], accuracy=50).first().q
-        assert got == pytest.approx(np.quantile(values, [0.0, 0.25, 0.5, 0.99, 1.0]).tolist(), rel=1e-12)
+        points = [0.0, 0.25, 0.5, 0.99, 1.0]
+        for on_driver in (True, False):
+            got = exact_quantiles(df, [], F.col("x"), points, on_driver=on_driver)[0].first().q
+            for g, w in zip(got, np.quantile(values, points)):
+                assert g == pytest.approx(w, rel=1e-12) or not np.isfinite(w)
+
+
+def test_quantiles_of_sets(spark, monkeypatch):
+    """Every grouping set against numpy, on the driver and by windows."""
+    import numpy as np
+
+    from lodestone.operators import quantiles
+
+    rng = np.random.default_rng(4)
+    data = [(i, "big" if i % 10 else f"g{i % 7}", i % 3, float(v)) for i, v in enumerate(rng.lognormal(size=30000))]
+    df = spark.createDataFrame(data, "i int, g string, h int, x double")
+    q = QuerySpec(group_by=("g", "h"), group_mode="cube", metrics=(Metric("P99", "x", "p"), Metric("IQR", "x", "r")))
+    for cells in (200_000, 40):
+        monkeypatch.setattr(quantiles, "CELLS", cells)
+        for r in execute(df, q).df.collect():
+            x = [d[3] for d in data if r.g in (None, d[1]) and r.h in (None, d[2])]
+            assert (r.p, r.r) == pytest.approx((np.quantile(x, 0.99), np.quantile(x, 0.75) - np.quantile(x, 0.25)))
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([("a", "g", 1), ("a", "x", 2), ("b", "g", 4)], "g string, c string, v int")
+    same = execute(df, QuerySpec(group_by=("g",), metrics=(Metric("SUM", "v", "g"),), sort=(Sort("g", True),))).df
+    assert same.columns == ["g", "g"] and [tuple(r) for r in same.collect()] == [("b", 4.0), ("a", 3.0)]
+    wide = execute(df, QuerySpec(group_by=("g", "c"), group_mode="pivot", metrics=(Metric("SUM", "v"),), sort=(Sort("g"),))).df
+    assert wide.columns == ["g", "g", "x"] and [tuple(r) for r in wide.collect()] == [("a", 1.0, 2.0), ("b", 4.0, None)]
+
+
+def test_pivot_of_mode(spark):
+    df = spark.createDataFrame([(0, "a", "p", 5), (1, "a", "p", 7), (2, "a", "p", 7), (3, "a", "q", 1), (4, "b", "q", 9), (5, "b", "q", 2)], "i int, g string, c string, v int")
+    q = QuerySpec(group_by=("g", "c"), group_mode="pivot", metrics=(Metric("MODE", "v", "m"), Metric("COUNT", "v", "n")), order_key="i", sort=(Sort("g"),))
+    out = execute(df, q).df
+    assert out.columns == ["g", "p · m", "p · n", "q · m", "q · n"]
+    assert [tuple(r) for r in out.collect()] == [("a", 7, 3, 1, 1), ("b", None, None, 9, 2)]
 
 
 def test_pivot_names_and_other(spark):
@@ -264,6 +300,21 @@ def test_folders(spark, tmp_path):
     assert len(t.skipped) == 1 and t.skipped[0].endswith("bad.parquet")
     put(tmp_path / "conflict/int.parquet", a=[1])
     put(tmp_path / "conflict/str.parquet", a=["x"])
+    # nested folders and any spelling of a suffix; keys of folders that disagree come from the paths
+    for i, n in enumerate(("c.parquet", "d.PQ", "f.Parquet", "g.pArQ", "sub/e.parquet", "sub/deep/h.PARQUET")):
+        put(tmp_path / "mixed" / n, id=list(range(10 * i, 10 * i + 10)))
+    t = open_table(spark, str(tmp_path / "mixed"))
+    assert t.df.agg(F.count("*"), F.count_distinct("id")).first()[:2] == (60, 60) and not t.skipped
+    assert footer.files(footer.column_chunks(spark, str(tmp_path / "mixed"))).agg(F.sum("rows")).first()[0] == 60
+    put(tmp_path / "uneven/year=2023/day=2023-01-05/a.parquet", id=[1])
+    put(tmp_path / "uneven/year=2024/b.PARQ", id=[2])
+    put(tmp_path / f"uneven/year={HIVE_NULL}/sub/c.parquet", id=[3], x=[0.5])
+    put(tmp_path / "uneven/d.parquet", id=[4])
+    t = open_table(spark, str(tmp_path / "uneven"))
+    assert t.df.columns == ["year", "day", "id", "x"] and t.df.schema["year"].dataType == T.IntegerType()
+    assert sorted(map(tuple, t.df.collect()), key=lambda r: r[2]) == [(2023, dt.date(2023, 1, 5), 1, None), (2024, None, 2, None), (None, None, 3, 0.5), (None, None, 4, None)]
+    r = plan_report(footer.column_chunks(spark, str(tmp_path / "hive")), QuerySpec(filters=(Filter("year", "=", "2024"), Filter("id", ">", "2")))).first()
+    assert (r.groups, r.kept, r.by_partition, r.by_statistics) == (4, 2, 2, 0)
     with pytest.raises(Refusal, match="int.parquet.*str.parquet"):
         open_table(spark, str(tmp_path / "conflict"))
     with pytest.raises(Refusal, match="no readable"):
@@ -291,6 +342,12 @@ def test_files_beyond_the_reader_go_through_arrow(spark, tmp_path):
     pq.write_table(t, tmp_path / "k=a/one.parquet", compression="brotli", row_group_size=2, use_dictionary=False, column_encoding={"x": "BYTE_STREAM_SPLIT"})
     pq.write_table(pa.table({"id": [4]}), tmp_path / "k=a/two.parquet", compression="brotli")
     rows = sorted(open_table(spark, str(tmp_path)).df.collect(), key=lambda r: r.id)
+    # a row group a task, and only what is asked for
+    df = open_table(spark, str(tmp_path), columns=["id"], where=QuerySpec(filters=(Filter("id", "<", "3"),))).df
+    assert df.columns == ["id"] and df.rdd.getNumPartitions() == 1 and sorted(r.id for r in df.collect()) == [1, 2]
+    pq.write_table(pa.table({"id": list(range(400))}), tmp_path / "forty.parquet", compression="brotli", row_group_size=10)
+    df = open_table(spark, str(tmp_path / "forty.parquet")).df
+    assert sorted(r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) == [10] * 40
     assert [(r.k, r.id, r.ms, r.x) for r in rows] == [("a", 1, "00:00:01.500", 0.5), ("a", 2, None, 1.5), ("a", 3, "00:00:00.000", None), ("a", 4, None, None)]
     assert rows[0].ns == dt.datetime(1970, 1, 1, 0, 0, 1)
 
@@ -306,6 +363,15 @@ def test_footers_and_plan(spark, tmp_path):
     either = QuerySpec(("id",), (Filter("id", "<", "50"), Filter("id", ">=", "950", link="OR"), Filter("s", "LIKE", "x")))
     assert plan_report(chunks, either).first().kept == 2
     assert footer.shape(chunks).first().rows == 1000
+    kinds = {"d": [decimal.Decimal(i) / 1 - 500 for i in range(1000)], "day": [dt.date(1994, 1, 1) + dt.timedelta(days=i) for i in range(1000)], "at": [dt.datetime(1994, 1, 1) + dt.timedelta(days=i) for i in range(1000)], "x": [i / 10 for i in range(1000)], "s": [f"s{i:04d}" for i in range(1000)]}
+    pq.write_table(pa.table({**kinds, "d": pa.array(kinds["d"], pa.decimal128(30, 2))}), tmp_path / "kinds.parquet", row_group_size=200)
+    chunks = footer.column_chunks(spark, str(tmp_path / "kinds.parquet"))
+    col = {r.column: r for r in footer.columns(chunks).collect()}
+    assert (col["d"]["min"], col["d"]["max"]) == ("-500.00", "499.00") and (col["day"]["min"], col["day"]["max"]) == ("1994-01-01", "1996-09-26")
+    for f in (Filter("at", "<", "1995-01-01"), Filter("day", ">=", "1995-06-01"), Filter("day", "BETWEEN", "1994-01-05", "1994-01-06"), Filter("s", "=", "s0450"), Filter("s", "<", "s02"), Filter("d", "<", "-100.5"), Filter("d", ">", "99.5"), Filter("x", "=", "0.1"), Filter("x", ">", "79.95")):
+        df = spark.read.parquet(str(tmp_path / "kinds.parquet"))
+        want = {i // 200 for i, ok in enumerate(r[0] for r in df.select(compile_where((f,), df.schema)[0]).collect()) if ok}
+        assert plan_report(chunks, QuerySpec(filters=(f,))).first().kept == len(want), f
     plan = execute(spark.read.parquet(str(tmp_path / "a.parquet")), QuerySpec(("s",), (Filter("id", ">", "990"),))).df._jdf.queryExecution().toString()
     assert "GreaterThan(id,990)" in plan and "PushedFilters" in plan
 
