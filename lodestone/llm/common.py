@@ -16,48 +16,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir.  Only a local session without one (tests) gets a temporary folder."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: computed once, lineage cut, safe to lose executors."""
+def _written(df: DataFrame) -> tuple[str, DataFrame]:
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back: computed once, lineage cut, safe to lose executors.
+
+    The table stays as long as the returned frame may be read, which is until the session's folder is cleared.
+    """
+    return _written(df)[1]
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    while any(c.lower() == name.lower() for c in df.columns):
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _with_least(pairs: DataFrame, least: DataFrame, hot: int) -> DataFrame:
+    """(a, b) with m of `least` (a, m, n: number of a's pairs).
+
+    Nodes of more than `hot` pairs meet their least value by broadcast, so a hub's pairs stay
+    where they are; there are at most 2 * pairs / hot of these, which the caller bounds.
+    """
+    hubs = F.broadcast(least.filter(F.col("n") > hot).select(F.col("a").alias("hub"), F.col("m").alias("hub_m")))
+    marked = pairs.join(hubs, F.col("a") == F.col("hub"), "left")
+    others = marked.filter("hub IS NULL").select("a", "b").join(least.filter(F.col("n") <= hot).select("a", "m"), "a")
+    return others.select("a", "b", "m").unionByName(marked.filter("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")))
+
+
+HUBS = 100_000  # nodes that may be broadcast
+HUB = 64  # pairs of a node, below which it is no hub
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) long pairs as (node, comp), comp the smallest node id.
 
     Alternates large-star and small-star contraction, which needs a logarithmic
     number of rounds; each round is written out, so no lineage builds up and
-    nothing is gathered on the driver but a checksum.  A hub keeps one row
-    per neighbour and its minimum is a partial aggregate.
+    nothing is gathered on the driver but a checksum.  The minimum of a
+    neighbourhood is a partial aggregate, and a hub's pairs are never sent to one task.
     """
-    e = materialise(edges.filter("a <> b").select("a", "b").distinct())
-    before = None
+    spark = edges.sparkSession
+    path, e = _written(edges.filter("a <> b").select("a", "b").distinct())
+    before, size = None, e.count()
     for _ in range(max_rounds):
+        hot = max(HUB, 4 * size // HUBS)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
         # large star: every larger neighbour of `a` points to the least of a's neighbourhood
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = _with_least(both, low, hot).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # small star: smaller neighbours and `a` itself point to the least of them
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        e = materialise(small)
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(down, least, hot).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        last = path
+        path, e = _written(small)
+        _forget(spark, last)
         now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before or not now[0]:
             break
-        before = now
+        before, size = now, now[0]
     else:
         raise RuntimeError("components did not converge")
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()

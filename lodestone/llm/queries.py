@@ -15,4 +15,4 @@ QUERIES = {
     "op10_fingerprint": op10_fingerprint.query,
 }
 
-ORACLES = {"op1_vptree": op1_vptree.ORACLE, "op4_substring_dedup": op4_substring.ORACLE, "op7_mix": op7_mix.ORACLE}
+ORACLES = {"op1_vptree": op1_vptree.ORACLE, "op4_substring_dedup": op4_substring.ORACLE, "op7_mix": op7_mix.ORACLE, "op8_ngram_join": op8_ngram_join.ORACLE}

@@ -113,7 +113,8 @@ def test_blocks_of_one_group_lose_no_link(spark):
             s[rng.choice(50, change, replace=False)] = rng.choice(2**60, change).astype(np.uint64)
             node = int(rng.integers(-(2**40), 2**40))
             sets[node] = set(s.tolist())
-            rows.append((7, node, 50, bytearray(s.tobytes())))
+            cells = [int((s ^ np.uint64(j * 0x9E3779B9)).min()) for j in range(op8.LEVELS)]
+            rows.append((7, node, 50, cells, bytearray(s.tobytes()), s.view(np.int64).tolist()))
     root = {d: d for d in sets}
 
     def find(x):
@@ -127,9 +128,10 @@ def test_blocks_of_one_group_lose_no_link(spark):
             if a < b and 100 * both >= 80 * (100 - both):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    classes = spark.createDataFrame(rows, "grp long, node long, n long, tokens binary")
+    df = spark.createDataFrame(rows, "grp long, node long, n long, cells array<long>, tokens binary, keys array<long>")
+    indexed = df.selectExpr("node AS c1", "keys", "cast(array() AS array<long>) AS alone", "false AS wide")
     for block in (4, 16, 1000):
-        got = {r.node: r.comp for r in op8.verified_components(classes, 80, block).collect()}
+        got = {r.node: r.comp for r in op8.verified_components(df.drop("keys"), indexed, 80, block).collect()}
         assert {d: got.get(d, d) for d in sets} == {d: find(d) for d in sets}
 
 
@@ -148,3 +150,51 @@ def test_null_and_repeated_doc_ids_link_by_text_only(spark):
     assert len(third) == 1 and third[0] in (other, other + " z")
     assert sorted((x for x in kept if x[0] is not None)) == [(3, " "), (5, five), (7, alone), (8, nine + " v")]
     assert len(kept) == 6
+
+
+def test_chance_keys_do_not_bring_a_group_together(spark, monkeypatch):
+    """Texts of one candidate group that hangs together by shared rare passages, with a few near copies inside: same links as brute force, and few sets sent key by key."""
+    import random
+
+    random.seed(8)
+    order = [random.sample(range(60), 60) for _ in range(5)]
+    rows = [(d, " ".join(f"s{j}p{order[j][d] // 2}w{i}" for j in range(5) for i in range(40))) for d in range(60)]
+    for d in range(0, 60, 10):
+        w = rows[d][1].split()
+        w[70] = "other"
+        rows.append((1000 + d, " ".join(w)))
+    sent = []
+    between = op8._between
+    monkeypatch.setattr(op8, "_between", lambda apart, *a: sent.append(apart.count()) or between(apart, *a))
+    df = spark.createDataFrame([(d, t, "c", "n") for d, t in rows], DOCS)
+    assert result(op8.ngram_join(df, block=8)) == brute(rows)
+    assert sent and 0 < sent[0] < 60 * len(rows)
+
+
+def test_components_of_hubs_and_paths(spark, monkeypatch):
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "HUB", 5)
+    edges = [(0, i) for i in range(1, 200)] + [(999, i) for i in range(300, 400)] + [(i, i + 1) for i in range(500, 560)] + [(7, 7)]
+    got = {r.node: r.comp for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 0 for i in range(200)} | {i: 300 for i in [999, *range(300, 400)]} | {i: 500 for i in range(500, 561)}
+    assert got == want
+
+
+def test_census_counts_documents(spark):
+    """The byte of a hash is the same for every chunk, tells one document from more, and grows with their number."""
+    import numpy as np
+
+    from lodestone.llm import census
+
+    codes = census._codes(np.arange(1, 10**6, 997))
+    assert census.code(1) == 1 < census.code(2) < census.code(3) and (np.diff(codes.astype(int)) >= 0).all() and codes[-1] < 255
+    h = np.sort(np.array([5, 2**40, 2**63 + 7], np.uint64))
+    rows = {"chunk": [], "bucket": [], "data": []}
+    for c, n in ((0, [1, 3, 300]), (1, [2, 0, 300])):
+        keep = np.array(n) > 0
+        for k, v in census.send(c, h[keep], np.array(n)[keep], 4).items():
+            rows[k] += v
+    got = {(r.chunk, r.bucket): bytes(r.data) for r in census.count_documents(spark.createDataFrame(census.sent_table(rows).to_pandas(), census.SENT)).collect()}
+    reply = census.read_replies({b: d for (c, b), d in got.items() if c == 0}, h, 4)
+    assert reply.tolist() == [census.code(3), census.code(3), census.code(510)]
