@@ -8,7 +8,9 @@ window whose words also start in a document with a smaller doc_id goes.
    documents; other windows cannot repeat and go no further.
 2. Reference shards.  Runs of windows with one anchor are dealt out by anchor,
    each distinct run once per chunk with its least document, so all places of
-   a window meet in one shard of bounded size.
+   a window meet in one shard of bounded size.  A phrase that many documents share is the anchor of
+   windows in ever new contexts; windows of such a hot anchor are dealt by their own hash
+   instead, each alone, so the phrase does not send them all to one task.
 3. A shard streams its runs, least document first, through the suffix automaton
    of the runs before them: matching statistics of `k` or more words give the
    windows known from a smaller document, then the run extends the automaton.
@@ -17,7 +19,7 @@ window whose words also start in a document with a smaller doc_id goes.
 
 An automaton of the whole reference corpus cannot be broadcast, since it
 grows with the corpus; each shard's automaton lives in the one task to
-which all text that can match it is sent instead.
+which all text that can match it is sent instead.  Words enter it as 64-bit hashes.
 
 Defined results: null and empty texts have no words; a null doc_id counts as
 the largest; rows of one doc_id are one document for the comparison; ties and
@@ -32,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .census import MISSING, SENT, chunks, count_chunks, read_replies, send, sent_table, texts_of
+from .census import MISSING, SENT, chunks, code, count_documents, read_replies, send, sent_table, texts_of
 from .common import materialise, table
 from .words import Words
 
 GRAM = 5
 RUN = 32  # windows in one run, at most
+HOT = 64  # chunks; windows of an anchor in more are dealt by their own hash
 SHARD_BYTES = 2_000_000
 U = np.uint64
 
@@ -125,20 +128,22 @@ class Chunk:
         self.several = np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut) if n and len(cut) else np.zeros(0, bool)
 
     def runs(self, replies: dict[int, bytes], buckets: int):
-        """Runs of repeated anchors: (first window, windows, content hash, shard) of each."""
-        repeated = (read_replies(replies, self.distinct, buckets) > 1) | self.several
-        i = np.flatnonzero(repeated[self.of])
+        """Runs of repeated anchors: (first window, windows, content hash, what it is dealt by) of each."""
+        reply = read_replies(replies, self.distinct, buckets)
+        i = np.flatnonzero((reply > 1)[self.of])
         if not len(i):
-            return i, i, i.astype(U), i
+            return i, i, i.astype(U), i.astype(U)
+        # a chunk counts once or, with several documents, twice
+        hot = (reply > code(2 * HOT))[self.of[i]]
         new = np.ones(len(i), bool)
-        new[1:] = (self.at[i[1:]] != self.at[i[:-1]] + 1) | (self.anchor[i[1:]] != self.anchor[i[:-1]]) | (self.doc[i[1:]] != self.doc[i[:-1]]) | (self.words.doc[self.at[i[1:]]] != self.words.doc[self.at[i[:-1]]])
+        new[1:] = (self.at[i[1:]] != self.at[i[:-1]] + 1) | (self.anchor[i[1:]] != self.anchor[i[:-1]]) | (self.doc[i[1:]] != self.doc[i[:-1]]) | (self.words.doc[self.at[i[1:]]] != self.words.doc[self.at[i[:-1]]]) | hot[1:]
         group = np.cumsum(new) - 1
         place = np.arange(len(i)) - np.flatnonzero(new)[group]
         head = np.flatnonzero(new | (place % RUN == 0))
         n = np.diff(np.append(head, len(i)))
         place = np.arange(len(i)) - np.repeat(head, n)
         content = np.add.reduceat((self.hash[i] ^ U(0x9E3779B97F4A7C15)) * (U(2) * place.astype(U) + U(1)), head) + n.astype(U)
-        return i[head], n, content, (self.anchor[i[head]] >> U(20)).astype(np.int64)
+        return i[head], n, content, np.where(hot[head], self.hash[i[head]], self.anchor[i[head]])
 
 
 _RUNS = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("codes", pa.binary()), ("lengths", pa.binary()), ("docs", pa.binary()), ("groups", pa.binary())])
@@ -146,19 +151,19 @@ RUNS = "chunk bigint, shard bigint, codes binary, lengths binary, docs binary, g
 
 
 def _distinct_runs(c: Chunk, replies: dict[int, bytes], buckets: int, shards: int):
-    """Runs in the order of (shard, content, document), the first of each (shard, content), and per run its class."""
-    head, n, content, spread = c.runs(replies, buckets)
-    shard = spread % shards
+    """Runs in the order of (shard, content, document) with their groups, and the first of each (shard, content)."""
+    head, n, content, group = c.runs(replies, buckets)
+    shard = ((group >> U(20)) % U(shards)).astype(np.int64)
     order = np.lexsort((c.doc[head], content, shard))
-    head, n, content, shard = head[order], n[order], content[order], shard[order]
+    head, n, content, shard, group = head[order], n[order], content[order], shard[order], group[order]
     first = np.ones(len(head), bool)
     first[1:] = (content[1:] != content[:-1]) | (shard[1:] != shard[:-1])
-    return head, n, shard, first
+    return head, n, shard, group, first
 
 
 def _ask(k: int, buckets: int):
     def ask(t: pa.Table) -> pa.Table:
-        return sent_table(send(t["chunk"][0].as_py(), Chunk(t, k).distinct, buckets))
+        return sent_table(send(t["chunk"][0].as_py(), (c := Chunk(t, k)).distinct, 1 + c.several, buckets))
 
     return ask
 
@@ -172,19 +177,18 @@ def _send_runs(k: int, buckets: int, shards: int):
         if not left.num_rows:
             return _RUNS.empty_table()
         c = Chunk(left, k)
-        head, n, shard, first = _distinct_runs(c, _replies(right, 0), buckets, shards)
-        head, n, shard = head[first], n[first], shard[first]
+        head, n, shard, group, first = _distinct_runs(c, _replies(right, 0), buckets, shards)
+        head, n, shard, group = head[first], n[first], shard[first], group[first]
         words = n + k - 1
-        low = c.words.hash.astype(np.uint32)
         cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
         rows: dict[str, list] = {f.name: [] for f in _RUNS}
         for a, b in zip(cut, np.append(cut[1:], len(shard))):
             m = words[a:b]
             at = np.repeat(c.at[head[a:b]] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
-            rows["codes"].append(low[at].tobytes())
+            rows["codes"].append(c.words.hash[at].tobytes())
             rows["lengths"].append(m.astype(np.uint8).tobytes())
             rows["docs"].append(c.doc[head[a:b]].tobytes())
-            rows["groups"].append(c.anchor[head[a:b]].tobytes())
+            rows["groups"].append(group[a:b].tobytes())
         rows["chunk"], rows["shard"] = [left["chunk"][0].as_py()] * len(cut), shard[cut].tolist()
         return pa.table(rows, schema=_RUNS)
 
@@ -198,7 +202,7 @@ def _stream(k: int):
     def stream(t: pa.Table) -> pa.Table:
         codes, length, doc, group = [], [], [], []
         for x in t.to_pylist():
-            codes.append(np.frombuffer(x["codes"], np.uint32))
+            codes.append(np.frombuffer(x["codes"], U))
             length.append(np.frombuffer(x["lengths"], np.uint8))
             doc.append(np.frombuffer(x["docs"], np.int64))
             group.append(np.frombuffer(x["groups"], U))
@@ -206,7 +210,7 @@ def _stream(k: int):
         codes, length, doc, group = (np.concatenate(x) for x in (codes, length, doc, group))
         end = np.cumsum(length.astype(np.int64))
         mask = np.zeros(len(length), np.uint32)
-        # the automaton is of one anchor's runs: runs of other anchors share no window with them
+        # the automaton is of one anchor's runs, or of one window of a hot anchor: others share no window with them
         order = np.lexsort((doc, group))
         _, n = np.unique(group[order], return_counts=True)
         at = 0
@@ -242,7 +246,7 @@ def _cut(k: int, buckets: int, shards: int, schema: pa.Schema):
             return schema.empty_table()
         c = Chunk(left, k)
         w = c.words
-        head, n, shard, first = _distinct_runs(c, _replies(right, 0), buckets, shards)
+        head, n, shard, _, first = _distinct_runs(c, _replies(right, 0), buckets, shards)
         got = _replies(right, 1)
         masks = np.frombuffer(b"".join(got[i] for i in sorted(got)), np.uint32)
         cls = np.cumsum(first) - 1
@@ -286,7 +290,7 @@ def substring_dedup(docs: DataFrame, k: int = 13) -> DataFrame:
     from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
     dealt, parts, buckets = chunks(docs)
-    replies = materialise(count_chunks(dealt.groupBy("chunk").applyInArrow(_ask(k, buckets), SENT)).withColumn("kind", F.lit(0)))
+    replies = materialise(count_documents(dealt.groupBy("chunk").applyInArrow(_ask(k, buckets), SENT)).withColumn("kind", F.lit(0)))
     shards = max(4, buckets * 4_000_000 // SHARD_BYTES)
     runs = dealt.groupBy("chunk").cogroup(replies.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(_send_runs(k, buckets, shards), RUNS)
     masks = runs.groupBy("shard").applyInArrow(_stream(k), SENT).withColumn("kind", F.lit(1))
