@@ -183,13 +183,15 @@ def fit(texts: list[str], labels: list[str], sequences: int = 4000, length: int
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
-    """Fit on at most `sample` different texts (text, lang) a language."""
+    """Fit on at most `sample` different texts (text, lang) a language, those first by a hash of the text."""
     h = F.xxhash64("text")
     pool = docs.filter(F.col("lang").isNotNull() & (F.length("text").between(1, longest))).select("text", "lang", h.alias("h"))
-    # copies share a hash: the first hashes are found without the texts, then each text counts once
-    first = pool.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= sample)
-    texts = pool.join(F.broadcast(first.select("lang", "h")), ["lang", "h"], "left_semi").distinct()
-    few = texts.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= sample)
+    # hashes spread evenly, so the number of different ones tells below which value some four times the sample lie; copies share a hash and count once
+    many = pool.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("m"))
+    below = many.select(F.col("lang").alias("_lang"), F.expr(f"CASE WHEN m <= {4 * sample} THEN {2**63 - 1} ELSE cast(-9223372036854775808D + 18446744073709551616D * {4 * sample} / m AS bigint) END").alias("_below"))
+    # one row a language, as the model itself has
+    near = pool.join(F.broadcast(below), F.expr("lang = _lang AND h <= _below")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    few = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= sample)
     rows = sorted((r.lang, r.text) for r in few.select("text", "lang").toLocalIterator())
     return fit([t for _, t in rows], [v for v, _ in rows])
 
