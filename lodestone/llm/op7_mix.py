@@ -28,7 +28,10 @@ STEPS = 256  # per unit of the logarithm of the ranking variable
 
 
 def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): weights 1, 2, 3, 1, ... by code point, null last, of the whole size, at most `most` times the source's."""
+    """(source, source_size, target) from (source, source_size): weights 1, 2, 3, 1, ... by code point, null last, of the whole size, at most `most` times the source's.
+
+    The sources of a mixture are few: their names and sums, a row each, are ordered in one task, which some millions of them fit in.
+    """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     s = sizes.withColumn("w", ((F.row_number().over(by_name) - 1) % 3 + 1).cast("long")).withColumn("cap", F.col("source_size") * most)
     # the sources that reach their cap first are those of least cap per weight
@@ -66,13 +69,13 @@ def pareto_mix(sized: DataFrame, goals: DataFrame, seed: str = "mix", most: int
     return drawn.unionByName(still).withColumn("copies", F.col("certain") + F.col("drawn")).drop("_source", "_step", "ahead", "sure", "rank", "step", "expected", "certain", "drawn", "mass", "weight")
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes_of(docs: DataFrame, *carry: str) -> DataFrame:
+    return docs.select(*carry, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of all documents."""
-    sized = materialise(sizes_of(docs))
+def mix(docs: DataFrame, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(carry, doc_id, source, size, source_size, target, copies) of all documents, a row each; carry: other columns that stay."""
+    sized = materialise(sizes_of(docs, *carry))
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most)
     return pareto_mix(sized, goals, most=most)
 
