@@ -71,7 +71,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     bounds = docs.agg(F.percentile_approx(key, [(i + 1) / n for i in range(n)], 100_000).alias("p"), F.max(key).alias("m")).first()
     upper = sorted({*(bounds.p or []), bounds.m if bounds.m is not None else 0})
     listed, m = F.array(*(F.lit(x).cast("bigint") for x in upper)), len(upper)
-    own = F.size(F.filter(listed, lambda x: x < key))
+    # binary search: the number of bounds below the key
+    steps = F.array(*(F.lit(2**i) for i in reversed(range(m.bit_length()))))
+    own = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= m) & (F.try_element_at(listed, at + step) < key), at + step).otherwise(at))
     copies = F.when(F.element_at(listed, own + 1) == key, F.array(F.struct(own.alias("bucket"), F.lit(False).alias("guest")), F.struct(((own + 1) % m).alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(own.alias("bucket"), F.lit(False).alias("guest"))))
     rows = docs.withColumn("_at", F.explode(copies)).select("*", "_at.*", key.alias("_key")).drop("_at")
     from pyspark.sql import Window
