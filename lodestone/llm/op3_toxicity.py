@@ -8,8 +8,9 @@ on all folds supply them.  Word features are present or absent, weighted by
 their log-count ratio in the training folds, and stem only from words in
 `min_df` training texts or more.
 
-The chain is fitted on at most `sample` labelled documents (those first by a hash
-of doc_id; whole texts); all documents are then scored from their whole texts.
+The chain is fitted on at most `sample` rows of labelled documents (those first by a hash
+of doc_id) and, of each text, on at most `longest` different words (those of least hash); all documents are then
+scored from their whole texts.
 
 Defined results: a null or empty text has no words and gets the chain's
 prior, unflagged; null labels count as absent rows; repeated rows get equal scores; with
@@ -28,6 +29,7 @@ from .common import table
 from .words import NOT_LETTERS, Words, mix
 
 SAMPLE = 8_000
+LONGEST = 20_000  # different words of a text in training
 MIN_DF = 4
 FOLDS = 5
 CHAIN = ("low_quality", "toxic")
@@ -141,21 +143,25 @@ class Chain:
 _ROW = "h bigint, low_quality int, toxic int, words binary"
 
 
-def _read(batches):
-    for b in batches:
-        texts = b["text"].cast(pa.large_binary()).to_pylist()
-        doc, h = features(texts)
-        cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-        words = [h[a:z].tobytes() for a, z in zip(cut, cut[1:])]
-        yield pa.RecordBatch.from_pydict({"h": b["h"], "low_quality": b["low_quality"], "toxic": b["toxic"], "words": words}, schema=pa.schema([("h", pa.int64()), ("low_quality", pa.int32()), ("toxic", pa.int32()), ("words", pa.binary())]))
+def _read(longest: int):
+    def read(batches):
+        for b in batches:
+            texts = b["text"].cast(pa.large_binary()).to_pylist()
+            doc, h = features(texts)
+            cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+            words = [h[a : min(z, a + longest)].tobytes() for a, z in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_pydict({"h": b["h"], "low_quality": b["low_quality"], "toxic": b["toxic"], "words": words}, schema=pa.schema([("h", pa.int64()), ("low_quality", pa.int32()), ("toxic", pa.int32()), ("words", pa.binary())]))
+
+    return read
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Chain:
     """labels: doc_id, quality, toxic (0 or 1); a document of quality 0 is of low quality."""
     few = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", (1 - F.col("quality")).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` rows of three numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", F.xxhash64("doc_id", "text").alias("h"), "low_quality", "toxic")
-    got = sorted(rows.mapInArrow(_read, _ROW).collect(), key=lambda r: (r.h, bytes(r.words)))
+    # doc_ids may stand on several rows, so what the join gives is bounded too
+    got = sorted(rows.mapInArrow(_read(longest), _ROW).orderBy("h").limit(sample).collect(), key=lambda r: (r.h, bytes(r.words)))
     words = [np.frombuffer(r.words, U) for r in got]
     doc = np.repeat(np.arange(len(got)), [len(w) for w in words])
     return Chain(doc, np.concatenate([*words, np.empty(0, U)]), len(got), np.array([[r.low_quality, r.toxic] for r in got], np.int64).reshape(-1, 2))
