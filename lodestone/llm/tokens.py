@@ -22,20 +22,30 @@ def _byte_of() -> dict[str, int]:
 
 
 class Encoder:
+    """The fast encoder of a file; the library's own tokenizer is read only where a text needs it, since each holds the vocabulary once more."""
+
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t != SPECIAL}
         self.fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @functools.cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def check(self) -> None:
+        """Compares both encoders on probes; once, on the driver."""
         for x in PROBES:
             if self.fast.encode_ordinary(x) != self.slow.encode(x, add_special_tokens=False).ids:
-                raise ValueError(f"{path} is not a byte-level BPE whose ids are its merge ranks")
+                raise ValueError(f"{self.path} is not a byte-level BPE whose ids are its merge ranks")
 
     def ids(self, text: str) -> np.ndarray:
         if SPECIAL in text or _STEADY.search(text):
