@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .census import MISSING, SENT, chunks, code, count_documents, read_replies, send, sent_table, texts_of
-from .common import WORD, components, materialise, table
+from .common import WORD, components, free_name, materialise, table
 from .words import Words, mix
 
 FREQUENT = 100  # documents; shingles in more are indexed by combinations
@@ -307,14 +307,15 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOC
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The documents that stay: one row of each component, that of the least doc_id; texts without words resemble none and stay."""
     _, sets = _joined(docs, 5, 80, BLOCK)
-    first = sets.groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"), F.col("first.g").alias("_g"))
+    i, h, g, n = names = [free_name(docs, c) for c in ("_id", "_h", "_g", "_n")]
+    first = sets.groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(i), F.col("first.h").alias(h), F.col("first.g").alias(g))
     words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    h, g = _hashes()
-    keyed = docs.filter(words).withColumns({"_id": F.coalesce("doc_id", F.lit(MISSING)), "_h": h, "_g": g})
+    keyed = docs.filter(words).withColumns(dict(zip(names, (F.coalesce("doc_id", F.lit(MISSING)), *_hashes()))))
     # rows of one doc_id and text differ in other columns at most
-    same = Window.partitionBy("_id", "_h", "_g").orderBy(F.xxhash64(*docs.columns))
-    one = keyed.join(first, ["_id", "_h", "_g"], "left_semi").withColumn("_n", F.row_number().over(same)).filter("_n = 1")
-    return one.select(*docs.columns).unionByName(docs.filter(~words))
+    same = Window.partitionBy(i, h, g).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    one = keyed.join(first, [i, h, g], "left_semi").withColumn(n, F.row_number().over(same)).filter(F.col(n) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return one.select(*columns).unionByName(docs.filter(~words).select(*columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

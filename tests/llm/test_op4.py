@@ -68,3 +68,35 @@ def test_automaton_against_substrings():
             assert got == want
             a.add(s, d)
             seen.append(s)
+
+
+def test_a_phrase_in_ever_new_contexts_is_not_dealt_to_one_shard(spark):
+    """A five-word phrase of a very low hash is the anchor of windows in 10,000 contexts: dealt apart, and nothing else changes."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.llm import census
+    from lodestone.llm.words import Words
+
+    random.seed(2)
+    phrases = [[f"{a}{j}" for j in range(5)] for a in range(3000)]
+    low = min(phrases, key=lambda p: int(Words([" ".join(p).encode()]).grams(5)[0][0]))
+    rows = [(d, " ".join([f"l{d}x{i}" for i in range(12)] + low + [f"r{d}x{i}" for i in range(12)])) for d in range(10_000)]
+    t = pa.table({"doc_id": [d for d, _ in rows], "text": [x for _, x in rows], "chunk": [0] * len(rows)})
+    c = op4.Chunk(t, 13)
+    anchor = int(Words([" ".join(low).encode()]).grams(5)[0][0])
+    assert (c.anchor == anchor).sum() > 60_000
+    replies = np.where(c.distinct == anchor, census.code(20_000), census.code(1)).astype(np.uint8)
+    b = census.bucket_of(c.distinct, 4)
+    head, n, shard, group, _ = op4._distinct_runs(c, {i: replies[b == i].tobytes() for i in range(4)}, 4, 64)
+    share = np.bincount(shard, minlength=64)
+    assert (n == 1).all() and len(head) > 60_000 and share.max() < 1.2 * np.median(share)
+
+
+def test_hot_anchors_give_the_same_rows(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = sorted(map(tuple, op4.substring_dedup(docs).select("doc_id", "n_removed", "kept").collect()))
+    monkeypatch.setattr(op4, "HOT", 1)
+    assert sorted(map(tuple, op4.substring_dedup(docs).select("doc_id", "n_removed", "kept").collect())) == want
