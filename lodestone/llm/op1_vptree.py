@@ -3,7 +3,8 @@
 Largest inner product becomes least Euclidean distance when each vector gets
 one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, and queries a
 zero there.  Tasks cut their vectors into shards of bounded size, build a tree
-for each, and search it with a block of queries at once: a branch is left out
+for each, and write shards with their trees to the shared folder, once.  A shard is searched with a block of
+queries at once: a branch is left out
 for the queries whose triangle bound, times `factor`, exceeds the distance of
 their k-th best so far.  A factor of one is exact search; a larger one prunes more.
 The first bounds come from a bounded sample of vectors.
@@ -12,7 +13,7 @@ Equal vectors are one class with its k + 1 least ids and the rows of each, which
 suffice for every answer, so thousands of copies cost one entry.  An id in one
 class takes one entry of its query's k + 1 (by score, then id) however many rows bear it; a query whose
 id stands in several classes is searched on its own and never meets its own rows.
-Queries go in blocks of bounded size, broadcast one after another.
+Queries go in blocks of bounded size, broadcast one after another and let go; a block reads the written shards.
 
 Defined results: vectors that are null, zero, hold null or non-finite components
 or have another length than most, or a null vec_id, take no part, as queries or candidates;
@@ -23,6 +24,8 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 SHARD = 8192
+SHARD_BYTES = 16_000_000
 LEAF = 64
 QUERIES = 32768
 SEEDS = 2048
@@ -100,10 +104,10 @@ class Search:
                 kth = np.partition(self.leave_out(self.q[who] @ x.T, who, ids)[0], len(x) - self.k, axis=1)[:, len(x) - self.k]
                 self.bound[who] = self.distance(kth, who)
 
-    def run(self, tree: Tree, vectors: np.ndarray, base: int, ids: np.ndarray | None = None) -> None:
-        """vectors: the tree's rows without the added coordinate; base: number of the first; ids: the two least of each."""
+    def run(self, root, vectors: np.ndarray, base: int, ids: np.ndarray | None = None) -> None:
+        """root: of the tree; vectors: the tree's rows without the added coordinate; base: number of the first; ids: the two least of each."""
         self.ids = self.two_least(vectors) + [base, 0] if ids is None else ids
-        stack = [(tree.root, np.arange(len(self.q)))]
+        stack = [(root, np.arange(len(self.q)))]
         while stack:
             node, who = stack.pop()
             if isinstance(node, tuple) and len(who):
@@ -151,36 +155,52 @@ _HIT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("own", pa.int64()), ("h
 HIT = "a bigint, b bigint, own bigint, hits array<struct<score:double,vec_id:bigint,rows:bigint>>"
 
 
-def _searcher(shared, top: float, k: int, factor: float):
+def _builder(top: float):
+    """Shards of (ids, embedding) rows, each with its tree, pickled for `_searcher`."""
+
+    def build(batches):
+        x, ids = [], []
+
+        def shard() -> pa.RecordBatch:
+            v = np.concatenate(x)
+            root = Tree(np.concatenate((v, np.sqrt(np.maximum(top * top - (v * v).sum(1), 0))[:, None]), 1)).root
+            made = pickle.dumps((root, v, [[(e["vec_id"], e["rows"]) for e in i] for i in ids]), 5)
+            x.clear()
+            ids.clear()
+            return pa.RecordBatch.from_pydict({"shard": pa.array([made], pa.binary())})
+
+        for b in batches:
+            v, of = _matrix(b["embedding"]), b["ids"].to_pylist()
+            most = max(LEAF, min(SHARD, SHARD_BYTES // (8 * v.shape[1])))
+            for a in range(0, len(v), most):
+                if len(ids) + len(v[a : a + most]) > most:
+                    yield shard()
+                x.append(v[a : a + most])
+                ids.extend(of[a : a + most])
+        if ids:
+            yield shard()
+
+    return build
+
+
+def _searcher(shared, k: int, factor: float):
     def run(batches):
-        qa, qb, own, q, seeds, least = shared.value
+        qa, qb, own, q, top, seeds, least = shared.value
         has_own = np.array([i is not None for i in own], bool)
         found = Search(q, top, k, factor, np.array([i or 0 for i in own], np.int64), has_own)
         found.seed(seeds, least)
-        ids: list[list[dict]] = []
-        waiting: list[np.ndarray] = []
-
-        def shard():
-            x = np.concatenate(waiting)
-            waiting.clear()
-            lifted = np.concatenate((x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))[:, None]), 1)
-            found.run(Tree(lifted), x, len(ids) - len(x), _two_least([e["vec_id"] for e in i] for i in ids[len(ids) - len(x) :]))
-
+        ids: list[list[tuple[int, int]]] = []
         for b in batches:
-            x, of = _matrix(b["embedding"]), b["ids"].to_pylist()
-            for a in range(0, len(x), SHARD):
-                if sum(map(len, waiting)) + len(x[a : a + SHARD]) > SHARD:
-                    shard()
-                waiting.append(x[a : a + SHARD])
-                ids += of[a : a + SHARD]
-        if waiting:
-            shard()
+            for s in b["shard"]:
+                root, x, of = pickle.loads(s.as_buffer())
+                found.run(root, x, len(ids), _two_least([i for i, _ in o] for o in of))
+                ids += of
         if not ids:
             return
         for lo in range(0, len(q), 1000):
             hits = []
             for s, r, o in zip(found.score[lo : lo + 1000].tolist(), found.row[lo : lo + 1000].tolist(), own[lo : lo + 1000]):
-                each = sorted((-x, i["vec_id"], i["rows"]) for x, j in zip(s, r) if j >= 0 for i in ids[j] if i["vec_id"] != o)[:k]
+                each = sorted((-x, i, n) for x, j in zip(s, r) if j >= 0 for i, n in ids[j] if i != o)[:k]
                 hits.append([{"score": -x, "vec_id": i, "rows": n} for x, i, n in each])
             yield pa.RecordBatch.from_pydict({"a": qa[lo : lo + 1000], "b": qb[lo : lo + 1000], "own": own[lo : lo + 1000], "hits": hits}, schema=_HIT)
 
@@ -213,14 +233,17 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, factor: float = FACT
     sample = classes.orderBy("a", "b").limit(SEEDS).select("embedding", F.expr("slice(ids.vec_id, 1, 2)").alias("least")).collect()
     seeds, least = np.array([r.embedding for r in sample], np.float64), _two_least(r.least for r in sample)
     blocks = -(-count // block)
-    spread = classes.repartition(max(1, min(-(-n // LEAF), max(spark.sparkContext.defaultParallelism, -(-n // (4 * SHARD))))))
+    dealt = classes.repartition(max(1, min(-(-n // LEAF), max(spark.sparkContext.defaultParallelism, -(-n // (4 * SHARD))))))
+    shards = materialise(dealt.select("ids", "embedding").mapInArrow(_builder(top), "shard binary"))
     hits = None
     for i in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("b", "a", "own"), F.lit(blocks)) == i).toArrow()
-        shared = spark.sparkContext.broadcast((rows["a"].to_numpy(), rows["b"].to_numpy(), rows["own"].to_pylist(), _matrix(rows["embedding"]), seeds, least))
-        part = spread.select("ids", "embedding").mapInArrow(_searcher(shared, top, k + 1, factor), HIT)
+        shared = spark.sparkContext.broadcast((rows["a"].to_numpy(), rows["b"].to_numpy(), rows["own"].to_pylist(), _matrix(rows["embedding"]), top, seeds, least))
+        part = shards.mapInArrow(_searcher(shared, k + 1, factor), HIT)
         part = part.groupBy("a", "b", "own").agg(F.slice(F.sort_array(F.transform(F.flatten(F.collect_list("hits")), lambda h: F.struct((-h["score"]).alias("s"), h["vec_id"].alias("vec_id"), h["rows"].alias("rows")))), 1, k + 1).alias("hits"))
-        part = materialise(part) if blocks > 1 else part
+        if blocks > 1:
+            part = materialise(part)
+            shared.destroy()
         hits = part if hits is None else hits.unionByName(part)
     met = asked.alias("q").join(hits.alias("h"), F.expr("q.a = h.a AND q.b = h.b AND q.own <=> h.own")).select("vec_id", "hits")
     others = F.flatten(F.transform(F.filter("hits", lambda h: h["vec_id"] != F.col("vec_id")), lambda h: F.array_repeat(h, F.least(h["rows"], F.lit(k)).cast("int"))))

@@ -49,7 +49,7 @@ def test_pruning_is_exact_at_one_and_does_prune():
     seen = [0]
     leaf = s._leaf
     s._leaf = lambda rows, who, *a: (seen.__setitem__(0, seen[0] + len(rows) * len(who)), leaf(rows, who, *a))
-    s.run(op1.Tree(lifted), x, 0)
+    s.run(op1.Tree(lifted).root, x, 0)
     assert np.allclose(np.sort(s.score, 1), np.sort(np.sort(q @ x.T, 1)[:, -10:], 1))
     assert seen[0] < 0.7 * 6000 * 100
 
