@@ -35,7 +35,7 @@ ROWS += [(5, 0, "user", "same"), (5, 0, "user", "same"), (5, 0, "assistant", "sa
 
 def test_edges_read_back(spark):
     df = spark.createDataFrame([(*r, "") for r in ROWS], TURNS)
-    for size in ((2048, 256, 2), (120, 40, 3), (30, 8, 1)):
+    for size in ((2048, 256, 2), (120, 40, 3), (30, 8, 1), (2048, 256, 2, "pieces"), (60, 20, 2, "pieces")):
         assert digest(op5.read_back(op5.windows(df, *size))) == expected(ROWS)
     assert op5.windows(df.limit(0)).count() == 0
 
@@ -43,12 +43,12 @@ def test_edges_read_back(spark):
 def test_windows_keep_budget_history_and_mask(spark):
     df = spark.createDataFrame([(*r, "") for r in ROWS if r[0] == 1], TURNS)
     budget, history = 400, 120
-    got = op5.windows(df, budget, history, 2).orderBy("span").collect()
+    got = op5.windows(df, budget, history, 2, "pieces").orderBy("span").collect()
     assert len(got) > 20
     import re
 
     def cost(x):
-        return len(re.findall(r"\w+|[^\w\s]", x)) + 4
+        return len(re.findall(r"[^\W\d_]{1,4}|\d{1,3}|[^\s\w]|\s", x)) + op5.MARKS
 
     targets = []
     for i, w in enumerate(got):
@@ -60,3 +60,29 @@ def test_windows_keep_budget_history_and_mask(spark):
         targets += [w.formatted[r.start : r.start + r.length] for r in w.loss]
     assert targets == [x for _, _, r, x in ROWS[:700] if r == "assistant"]
     assert any(w.repeats == 3 for w in got)
+
+
+def test_windows_in_bytes_bound_any_byte_level_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    df = spark.createDataFrame([(*r, "") for r in ROWS if r[0] in (1, 4)], TURNS)
+    got = op5.windows(df, 1500, 300, 2).collect()
+    assert len(got) > 10
+    for w in got:
+        assert len(enc.encode(w.formatted, add_special_tokens=False).ids) <= len(w.formatted.encode()) <= 1500
+
+
+def test_windows_beyond_the_budget(spark):
+    """Only a single large turn, or a large system turn, makes a window exceed the budget, and by no more."""
+    df = spark.createDataFrame([(*r, "") for r in ROWS if r[0] in (6, 7)] + [(7, i, "user", "x" * 30, "") for i in range(2, 40)], TURNS)
+    budget, history = 400, 100
+    for w in op5.windows(df, budget, history, 2).collect():
+        turns = w.formatted.split(op5.END + "\n")[:-1]
+        sizes = [len(x.encode()) + len(op5.END) + 1 for x in turns]
+        system = sizes[0] if w.conv_id == 7 else 0
+        span = sizes[w.repeats :]
+        assert sum(sizes[bool(system) : w.repeats]) <= history or not w.repeats
+        assert len(span) == 1 or sum(span) <= max(budget // 4, budget - history - system) or w.formatted.startswith(op5.START + "system")
+    assert {r.conv_id: r.n_turns for r in op5.read_back(op5.windows(df, budget, history, 2)).collect()} == {6: 2, 7: 40}
