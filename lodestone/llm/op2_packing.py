@@ -61,9 +61,6 @@ def _tokenise(path: str, length: int, keep_ids: bool):
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, on request, the ids (little-endian unsigned 32-bit)."""
-    from .tokens import encoder
-
-    encoder(path).check()
     kinds = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(_tokenise(path, length, keep_ids), kinds)
 

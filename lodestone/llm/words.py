@@ -23,7 +23,7 @@ NOT_LETTERS[65:91] = NOT_LETTERS[97:123] = False
 _BASE = 0x9DDFEA08EB382D69
 _INVERSE = pow(_BASE, -1, 2**64)
 _POW: list[np.ndarray] = []
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
