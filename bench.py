@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 #: What the baseline names: clustered filter, top-K, percentiles, distinct counts, many groups, full profile, joins.
 HEADLINE = [
-    "filter_temporal", "topk_tiebreak", "agg_p99", "agg_count_distinct", "agg_sum", "agg_two_keys_filtered", "rollup_3", "cube_3", "rollup_spread", "pivot_multi_metric", "pivot_other",
+    "filter_temporal", "topk_tiebreak", "agg_p99", "agg_count_distinct", "agg_sum", "agg_many_groups", "agg_quantiles_many_groups", "agg_two_keys_filtered", "rollup_3", "cube_3", "rollup_spread", "pivot_multi_metric", "pivot_other",
     "agg_mode_firstseen", "join_chain3", "join_estimate", "profile_all_columns", "profile_hist24", "diff_counts", "footer_columns", "flagship",
 ]
 

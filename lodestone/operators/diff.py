@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Refusal
-from ..functions.kinds import kind
+from ..functions.kinds import kind, text
 from .predicates import column
 
 #: Names that look like keys, tried first: a fixed pattern.
@@ -62,19 +62,33 @@ def suggest_key(a: DataFrame, b: DataFrame) -> str | None:
 
 @dataclass(frozen=True)
 class RowDiff:
-    only_a: DataFrame
-    only_b: DataFrame
-    matched: DataFrame  # keys and `changed`: the names of the columns that differ
+    """Both tables by key, in one frame: `na` and `nb` rows, `a` and `b` (their columns), `changed` (names of the columns that differ)."""
+
+    rows: DataFrame
+    keys: tuple[str, ...]
     columns: tuple[str, ...]
 
+    @property
+    def only_a(self) -> DataFrame:
+        return self.rows.filter("nb = 0").select("a.*")
+
+    @property
+    def only_b(self) -> DataFrame:
+        return self.rows.filter("na = 0").select("b.*")
+
+    @property
+    def matched(self) -> DataFrame:
+        """Keys and `changed`."""
+        return self.rows.filter("na > 0 AND nb > 0").select(*(F.col("a").getField(k).alias(k) for k in self.keys), "changed")
+
     @property
     def changed(self) -> DataFrame:
         return self.matched.filter(F.size("changed") > 0)
 
     def counts(self) -> DataFrame:
         """only_a, only_b, changed, same."""
-        m = self.matched.agg(F.count_if(F.size("changed") > 0).alias("changed"), F.count_if(F.size("changed") == 0).alias("same"))
-        return self.only_a.agg(F.count("*").alias("only_a")).crossJoin(self.only_b.agg(F.count("*").alias("only_b"))).crossJoin(m)  # three rows of counts
+        both = F.expr("na > 0 AND nb > 0")
+        return self.rows.agg(F.count_if(F.expr("nb = 0")).alias("only_a"), F.count_if(F.expr("na = 0")).alias("only_b"), F.count_if(both & (F.size("changed") > 0)).alias("changed"), F.count_if(both & (F.size("changed") == 0)).alias("same"))
 
     def per_column(self) -> DataFrame:
         """(column, n): rows in which each compared column differs, none left out."""
@@ -84,37 +98,40 @@ class RowDiff:
         return n.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("n")) for i, c in enumerate(self.columns)))).alias("x")).select("x.*")
 
 
-def _cell(name: str, t: T.DataType):
-    c = column(name)
-    return F.to_json(c, {"ignoreNullFields": "false"}) if isinstance(t, T.MapType) else c
-
-
 def row_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> RowDiff:
-    """Rows matched by key, NULL keys equal to NULL, NaN equal to NaN, numbers by value whatever their width."""
+    """Rows matched by key, NULL keys equal to NULL, NaN equal to NaN, numbers by value whatever their width.
+
+    Both tables are put together and grouped by key, so each is shuffled once; the check for repeated keys groups the keys alone.
+    """
     if not keys:
         raise Refusal("no key", "choose a key to compare rows by")
     for side, df in (("A", a), ("B", b)):
         for k in keys:
             if k not in df.columns:
                 raise Refusal("key missing", f"{k} is not a column of {side}")
-        repeated = df.groupBy(*(column(k) for k in keys)).count().filter("count > 1").agg(F.count("*"), F.sum("count")).first()
-        if repeated[0]:
-            raise Refusal("key repeated", f"in {side}, {repeated[0]:,} keys stand for {repeated[1]:,} rows")
+    types = [(a.schema[k].dataType, b.schema[k].dataType) for k in keys]
+
+    def side(df: DataFrame, i: int) -> DataFrame:
+        """Keys, `a` and `b`, of which the other side's is NULL."""
+        as_text = [kind(x) != kind(y) for x, y in types]
+        ks = [(text(column(k), df.schema[k].dataType, full_binary=True) if t else column(k)).alias(f"_k{j}") for j, (k, t) in enumerate(zip(keys, as_text))]
+        row = F.struct(*(column(c) for c in df.columns))
+        other = F.lit(None).cast((b if i == 0 else a).schema)
+        return df.select(*ks, *((row.alias("a"), other.alias("b")) if i == 0 else (other.alias("a"), row.alias("b"))))
+
+    both = side(a, 0).unionByName(side(b, 1))
+    by_key = both.groupBy(*(f"_k{j}" for j in range(len(keys))))
+    repeated = by_key.agg(F.count("a").alias("na"), F.count("b").alias("nb")).agg(*(f(F.when(F.col(c) > 1, F.col(c))).alias(f"{n}_{c}") for c in ("na", "nb") for n, f in (("keys", F.count), ("rows", F.sum)))).first()
+    for name, c in (("A", "na"), ("B", "nb")):
+        if repeated[f"keys_{c}"]:
+            raise Refusal("key repeated", f"in {name}, {repeated[f'keys_{c}']:,} keys stand for {repeated[f'rows_{c}']:,} rows")
     shared = [c for c in a.columns if c in b.columns and c not in keys]
 
-    def sided(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*(column(k).alias(f"{p}k{i}") for i, k in enumerate(keys)), *(_cell(c, df.schema[c].dataType).alias(f"{p}v{i}") for i, c in enumerate(shared)), F.lit(True).alias(f"{p}_here"))
+    def cell(s: str, df: DataFrame, c: str):
+        x = F.col(s).getField(c)
+        return F.to_json(x, {"ignoreNullFields": "false"}) if isinstance(df.schema[c].dataType, T.MapType) else x
 
-    cond = None
-    for i in range(len(keys)):
-        e = F.col(f"ak{i}").eqNullSafe(F.col(f"bk{i}"))
-        cond = e if cond is None else cond & e
-    matched = sided(a, "a").join(sided(b, "b"), cond)
-    differs = [F.when(~F.col(f"av{i}").eqNullSafe(F.col(f"bv{i}")), F.lit(c)) for i, c in enumerate(shared)]
+    differs = [F.when(~cell("a", a, c).eqNullSafe(cell("b", b, c)), F.lit(c)) for c in shared]
     changed = F.array_compact(F.array(*differs)) if differs else F.array().cast("array<string>")
-    x, y = a.alias("a"), b.alias("b")
-    on = None
-    for k in keys:
-        e = F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
-        on = e if on is None else on & e
-    return RowDiff(x.join(y, on, "left_anti"), y.join(x, on, "left_anti"), matched.select(*(F.col(f"ak{i}").alias(k) for i, k in enumerate(keys)), changed.alias("changed")), tuple(shared))
+    rows = by_key.agg(F.count("a").alias("na"), F.count("b").alias("nb"), F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))
+    return RowDiff(rows.select("na", "nb", "a", "b", changed.alias("changed")), tuple(keys), tuple(shared))

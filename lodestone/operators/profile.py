@@ -1,8 +1,10 @@
 """Column profiles: one row a column.
 
-One wide aggregate finds counts and ranges, one pass over (column, bin) pairs the
-histograms of 24 bins, one over (column, value) pairs the distinct counts and
-top values.  Every pass aggregates before it shuffles.
+One wide aggregate finds counts, ranges and, for text, a sketch of the distinct count; one pass
+over bin numbers the histograms of 24 bins; one over (column, value) pairs the distinct counts and
+top values of text.  Every pass aggregates before it shuffles.  Text columns of far more values than
+the distinct count goes to (CROWDED) are not shuffled value by value: a sketch names the values that can stand in
+more than one row of 4,097, and these alone are counted exactly.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from .predicates import column
 BINS = 24
 TOP = 30
 DISTINCT_CAP = 4096
+CROWDED = 50 * DISTINCT_CAP  # distinct values by the sketch
+TRACKED = 20_000  # values that the sketch of frequent values keeps
 SCHEMA = (
     "column string, kind string, n bigint, nulls bigint, trues bigint, falses bigint, count bigint, non_finite bigint, min double, max double, mean double, min_text string, max_text string, "
     "hist array<bigint>, distinct bigint, distinct_capped boolean, top array<struct<value:string,count:bigint>>, min_len bigint, max_len bigint, mean_len double, empties bigint"
@@ -83,28 +87,22 @@ def profile(df: DataFrame) -> DataFrame:
             size = F.length(c) if kind(t) in ("string", "binary") else F.lit(1) if isinstance(t, T.StructType) else F.size(c)
             size = F.when(c.isNotNull(), size)
             aggs += [F.min(size).alias(f"{k}_s"), F.max(size).alias(f"{k}_l"), F.avg(size).alias(f"{k}_a"), F.count_if(size == 0).alias(f"{k}_e")]
+            if kind(t) == "string":
+                aggs.append(F.approx_count_distinct(c).alias(f"{k}_d"))
     r = df.agg(*aggs).first()  # one row
     hist: dict[str, list[int]] = {}
     bins = []
-    for k, f in fields.items():
+    for i, (k, f) in enumerate(fields.items()):
         if kind(f.dataType) in ("number", "temporal"):
             hist[k] = [0] * BINS
             if r[f"{k}_lo"] is not None:
-                bins.append(F.struct(F.lit(k).alias("k"), bin_of(finite(column(f.name), f.dataType), r[f"{k}_lo"], r[f"{k}_hi"]).alias("b")))
+                bins.append(bin_of(finite(column(f.name), f.dataType), r[f"{k}_lo"], r[f"{k}_hi"]) + i * BINS)
     if bins:
-        pairs = df.select(F.explode(F.array(*bins)).alias("p")).filter("p.b IS NOT NULL").groupBy("p.k", "p.b").count()
-        for x in pairs.collect():  # 24 rows a column
-            hist[x.k][x.b] = x["count"]
-    strings = [(k, f) for k, f in fields.items() if kind(f.dataType) == "string"]
-    tops: dict[str, tuple[int, list]] = {k: (0, []) for k, _ in strings}
-    if strings:
-        values = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), column(f.name).cast("string").alias("v")) for k, f in strings))).alias("p")).filter("p.v IS NOT NULL")
-        counts = values.groupBy("p.k", "p.v").agg(F.count("*").alias("n"))
-        ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "v"))).filter(F.col("r") <= TOP)
-        for x in counts.groupBy("k").agg(F.count("*").alias("d")).collect():
-            tops[x.k] = (x.d, [])
-        for x in ranked.orderBy("k", "r").collect():  # thirty rows a column
-            tops[x.k][1].append((x.v, x.n))
+        for x in df.select(F.explode(F.array(*bins)).alias("b")).filter("b IS NOT NULL").groupBy("b").count().collect():  # 24 rows a column
+            hist[f"c{x.b // BINS}"][x.b % BINS] = x["count"]
+    strings = [k for k, f in fields.items() if kind(f.dataType) == "string"]
+    crowded = [k for k in strings if r[f"{k}_d"] > CROWDED]
+    tops = _text_values(df, {k: fields[k].name for k in strings if k not in crowded}) | _frequent(df, {k: fields[k].name for k in crowded})
     rows = []
     for k, f in fields.items():
         d = dict.fromkeys(NAMES)
@@ -120,3 +118,61 @@ def profile(df: DataFrame) -> DataFrame:
                 d |= {"distinct": min(n, DISTINCT_CAP + 1), "distinct_capped": n > DISTINCT_CAP, "top": top}
         rows.append(tuple(d.values()))
     return df.sparkSession.createDataFrame(rows, SCHEMA)
+
+
+def _text_values(df: DataFrame, names: dict[str, str]) -> dict[str, tuple[int, list]]:
+    """Number of distinct values and the thirty most frequent ones of text columns, in one query."""
+    tops: dict[str, tuple[int, list]] = {k: (0, []) for k in names}
+    if not names:
+        return tops
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), column(n).cast("string").alias("v")) for k, n in names.items()))).alias("p")).filter("p.v IS NOT NULL")
+    counts = values.groupBy("p.k", "p.v").agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "v"))).filter(F.col("r") <= TOP)
+    # counting n, not rows, keeps both sides' exchange the same, so it is computed once
+    number = counts.groupBy("k").agg(F.count("n").alias("n")).select("k", F.lit(None).cast("string").alias("v"), "n", F.lit(0).alias("r"))
+    for x in sorted(ranked.unionByName(number).collect(), key=lambda x: (x.k, x.r)):  # thirty-one rows a column
+        if x.r:
+            tops[x.k][1].append((x.v, x.n))
+        else:
+            tops[x.k] = (x.n, [])
+    return tops
+
+
+def _frequent(df: DataFrame, names: dict[str, str]) -> dict[str, tuple[int, list]]:
+    """For columns of very many values: beyond the cap, and exact counts of those that stand in more than one row of DISTINCT_CAP + 1."""
+    if not names:
+        return {}
+    sketch = df.agg(*(F.expr(f"approx_top_k({_quoted(n)}, {DISTINCT_CAP}, {TRACKED})").alias(k) for k, n in names.items())).first()
+    out: dict[str, tuple[int, list]] = {k: (DISTINCT_CAP + 1, []) for k in names}
+    seen = {k: [x["item"] for x in sketch[k] if x["item"] is not None] for k in names}
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.when(column(n).isin(seen[k]), column(n).cast("string")).alias("v")) for k, n in names.items() if seen[k]))
+    if any(seen.values()):
+        for x in df.select(F.explode(pairs).alias("p")).filter("p.v IS NOT NULL").groupBy("p.k", "p.v").agg(F.count("*").alias("n")).orderBy("k", F.desc("n"), "v").collect():
+            if len(out[x.k][1]) < TOP:
+                out[x.k][1].append((x.v, x.n))
+    return out
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+class Profiles:
+    """Profiles of a table by WHERE clause and column, each found once."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.known: dict[tuple, dict[str, tuple]] = {}
+
+    def get(self, filters: tuple = (), columns: list[str] | None = None) -> DataFrame:
+        """Rows of `profile` for the columns over the rows that meet the clauses."""
+        from .predicates import compile_where
+
+        have = self.known.setdefault(filters, {})
+        wanted = columns or self.df.columns
+        new = [c for c in wanted if c not in have]
+        if new:
+            where, _ = compile_where(filters, self.df.schema)
+            rows = self.df if where is None else self.df.filter(where)
+            have |= {r.column: tuple(r) for r in profile(rows.select(*(column(c) for c in new))).collect()}
+        return self.df.sparkSession.createDataFrame([have[c] for c in wanted], SCHEMA)

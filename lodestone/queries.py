@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +15,10 @@ from .operators.joins import Table
 from .plans.report import plan_report
 from .plans.spec import Filter, Metric, QuerySpec, Sort, scope_to
 from .plans.sql import parse_sql, write_sql
-from .sources import footer
+from .sources import export, footer
 from .sources.export import json_line, lines
 from .sources.table import open_table
+from .streaming.incremental import read_stream, running_aggregate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,7 +77,18 @@ sql("filter_fraction_on_int", "part", "SELECT p_partkey, p_size FROM part WHERE
 # projection, order, limit
 sql("project_subset", "orders", "SELECT o_orderdate, o_orderkey FROM orders", "SELECT o_orderdate, o_orderkey FROM orders")
 sql("topk_tiebreak", "orders", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_orderkey DESC LIMIT 50", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_orderkey DESC LIMIT 50")
-sql("sort_nulls_last_desc", "orders", "SELECT o_orderkey, c FROM orders ORDER BY c DESC, o_orderkey LIMIT 14950", "SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS c FROM orders ORDER BY c DESC NULLS LAST, o_orderkey LIMIT 14950", ("o_orderkey", "CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS c"))
+
+
+@register("sort_nulls_last_desc", "SELECT o_orderkey, c, row_number() OVER (ORDER BY c DESC NULLS LAST, o_orderkey) AS place FROM (SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS c FROM orders)")
+def _nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its place: sorted partitions follow one another, so a row's place is its number in them."""
+    df = load(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS c")
+    ordered = order_by(df, (Sort("c", True),), "o_orderkey").withColumn("id", F.monotonically_increasing_id())
+    part, at = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit(2**33 - 1))
+    sizes = ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
+    # one row a partition
+    before = sizes.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return ordered.join(F.broadcast(before), part == F.col("p")).select("o_orderkey", "c", (F.col("before") + at + 1).alias("place"))
 
 
 @register("page_2", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 200")
@@ -94,6 +106,8 @@ METRIC_SQL = {
 for key, (mine, theirs) in METRIC_SQL.items():
     exact = key in ("count", "count_all", "count_distinct", "max")
     sql(f"agg_{key}", "lineitem", f"SELECT l_returnflag, {mine} AS v FROM lineitem GROUP BY l_returnflag", f"SELECT l_returnflag, {theirs if exact else f'round({theirs}, 4)'} AS v FROM lineitem GROUP BY l_returnflag", digits=None if exact else 4)
+sql("agg_many_groups", "lineitem", "SELECT l_orderkey, COUNT(*) AS n, SUM(l_quantity) AS q FROM lineitem GROUP BY l_orderkey", "SELECT l_orderkey, COUNT(*) AS n, round(SUM(l_quantity), 4) AS q FROM lineitem GROUP BY 1", digits=4)
+sql("agg_quantiles_many_groups", "lineitem", f"SELECT l_partkey, MEDIAN({X}) AS m, QUANTILE_CONT({X}, 0.95) AS v FROM lineitem GROUP BY l_partkey", f"SELECT l_partkey, round(MEDIAN({X}), 4) AS m, round(QUANTILE_CONT({X}, 0.95), 4) AS v FROM lineitem GROUP BY 1", digits=4)
 sql("agg_nulls", "lineitem", "SELECT l_returnflag, COUNT(*) - COUNT(ln) AS v FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, COUNT(*) - COUNT(nullif(l_linenumber, 3)) AS v FROM lineitem GROUP BY l_returnflag", ("l_returnflag", "nullif(l_linenumber, 3) AS ln"))
 sql("agg_mode_firstseen", "orders", "SELECT o_orderstatus, MODE(o_custkey) AS v FROM orders GROUP BY o_orderstatus",
     "WITH c AS (SELECT o_orderstatus, o_custkey, count(*) AS n, min(o_orderkey) AS k FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, k) AS r FROM c) SELECT o_orderstatus, o_custkey AS v FROM r WHERE r = 1", order_key="o_orderkey")
@@ -218,9 +232,21 @@ def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.top_values(load(spark, sf_dir, "part"), "p_name")
 
 
-@register("profile_all_columns", None)
+def _profile_sql(name: str, kind: str) -> str:
+    if kind == "string":
+        return f"SELECT '{name}' AS \"column\", count(*) AS n, count(*) - count({name}) AS nulls, count({name}) AS count, NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, count(DISTINCT {name}) AS \"distinct\", (SELECT string_agg(v || '=' || c, ',') FROM (SELECT {name} AS v, count(*) AS c FROM lineitem GROUP BY 1 ORDER BY c DESC, v LIMIT 30)) AS top FROM lineitem"
+    x = f"epoch_us({name}) / 1000" if kind == "temporal" else name
+    return f"SELECT '{name}', count(*), count(*) - count({name}), count({name}), round(min({x}), 4)::DOUBLE, round(max({x}), 4)::DOUBLE, round(avg({x}), 2)::DOUBLE, NULL::BIGINT, NULL FROM lineitem"
+
+
+LINEITEM = {"l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "temporal"} | {f"l_{c}": "number" for c in ("orderkey", "partkey", "suppkey", "linenumber", "quantity", "extendedprice", "discount", "tax")}
+
+
+@register("profile_all_columns", " UNION ALL ".join(_profile_sql(*x) for x in LINEITEM.items()))
 def _profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile(load(spark, sf_dir, "lineitem"))
+    p = profile.profile(load(spark, sf_dir, "lineitem"))
+    top = F.when(F.col("top").isNotNull(), F.array_join(F.transform("top", lambda x: F.concat(x["value"], F.lit("="), x["count"].cast("string"))), ","))
+    return p.select("column", "n", "nulls", "count", F.round("min", 4).alias("min"), F.round("max", 4).alias("max"), F.round("mean", 2).alias("mean"), "distinct", top.alias("top"))
 
 
 # diff
@@ -240,16 +266,33 @@ register("diff_percol", f"WITH b AS ({PERTURBED_SQL}), m AS (SELECT a.o_custkey
 register("diff_counts", f"WITH b AS ({PERTURBED_SQL}), j AS (SELECT a.o_orderkey AS x, b.o_orderkey AS y, (a.o_custkey, a.o_totalprice, a.o_orderstatus) IS DISTINCT FROM (b.o_custkey, b.o_totalprice, b.o_orderstatus) AS c FROM orders a FULL JOIN b ON a.o_orderkey = b.o_orderkey) SELECT count(*) FILTER (WHERE y IS NULL) AS only_a, count(*) FILTER (WHERE x IS NULL) AS only_b, count(*) FILTER (WHERE c AND x IS NOT NULL AND y IS NOT NULL) AS changed, count(*) FILTER (WHERE NOT c) AS same FROM j")(lambda s, d: _orders_diff(s, d).counts())
 
 
-@register("diff_schema", None)
+@register("diff_schema", """SELECT 'added' AS what, 'flag' AS columns UNION ALL SELECT 'removed', '' UNION ALL SELECT 'retyped', 'o_custkey' UNION ALL SELECT 'renamed', 'o_orderstatus>status' UNION ALL SELECT 'common', (SELECT string_agg(column_name, ',' ORDER BY column_index) FROM duckdb_columns() WHERE table_name = 'orders' AND column_name <> 'o_orderstatus')""")
 def _schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = load(spark, sf_dir, "orders")
     d = diff.schema_diff(a.schema, a.selectExpr("o_orderkey", "CAST(o_custkey AS INT) AS o_custkey", "o_orderstatus AS status", "o_totalprice", "o_orderdate", "o_orderpriority", "true AS flag").schema)
-    return spark.createDataFrame([("added", list(d.added)), ("removed", list(d.removed)), ("retyped", [x[0] for x in d.retyped]), ("renamed", [f"{x}>{y}" for x, y in d.renamed]), ("common", list(d.common))], "what string, columns array<string>")
+    return spark.createDataFrame([("added", list(d.added)), ("removed", list(d.removed)), ("retyped", [x[0] for x in d.retyped]), ("renamed", [f"{x}>{y}" for x, y in d.renamed]), ("common", list(d.common))], "what string, columns array<string>").select("what", F.array_join("columns", ",").alias("columns"))
+
+
+# footer statistics must say of each column what the rows say
+FACTS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
-register("diff_statistics", None)(lambda s, d: footer.column_diff(footer.column_chunks(s, f"{d}/orders.parquet"), footer.column_chunks(s, f"{d}/orders.parquet")))
-register("diff_shape", None)(lambda s, d: footer.shape_diff(footer.column_chunks(s, f"{d}/orders.parquet"), footer.column_chunks(s, f"{d}/lineitem.parquet")))
-register("suggest_key", None)(lambda s, d: s.createDataFrame([(diff.suggest_key(load(s, d, "orders"), load(s, d, "orders")),)], "key string"))
+def _facts(c: str, table: str = "orders") -> str:
+    return f"SELECT '{c}' AS \"column\", min({c})::VARCHAR AS min, max({c})::VARCHAR AS max, (count(*) - count({c}))::BIGINT AS nulls FROM {table}"
+
+
+@register("diff_statistics", f"SELECT a.\"column\", a.min AS min_a, b.min AS min_b, a.max AS max_a, b.max AS max_b, a.nulls AS nulls_a, b.nulls AS nulls_b FROM ({' UNION ALL '.join(map(_facts, FACTS))}) a JOIN ({' UNION ALL '.join(map(_facts, FACTS))}) b USING (\"column\")")
+def _diff_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = footer.column_chunks(spark, f"{sf_dir}/orders.parquet")
+    return footer.column_diff(chunks, chunks).filter(F.col("column").isin(*FACTS)).select("column", *(f"{n}_{s}" for n in ("min", "max", "nulls") for s in "ab"))
+
+
+@register("diff_shape", " UNION ALL ".join(f"SELECT '{s}' AS side, 1::BIGINT AS files, count(*) AS rows, (SELECT count(*) FROM duckdb_columns() WHERE table_name = '{t}') AS columns FROM {t}" for s, t in (("A", "orders"), ("B", "lineitem"))))
+def _diff_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return footer.shape_diff(footer.column_chunks(spark, f"{sf_dir}/orders.parquet"), footer.column_chunks(spark, f"{sf_dir}/lineitem.parquet")).select("side", "files", "rows", "columns")
+
+
+register("suggest_key", "SELECT CASE WHEN count(*) = count(DISTINCT o_orderkey) THEN 'o_orderkey' END AS key FROM orders")(lambda s, d: s.createDataFrame([(diff.suggest_key(load(s, d, "orders"), load(s, d, "orders")),)], "key string"))
 
 
 # scope, nested values, metadata, exports
@@ -289,16 +332,110 @@ def _export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "region").select(json_line(load(spark, sf_dir, "region")).alias("line"))
 
 
-@register("export_markdown", None)
+@register("export_markdown", "SELECT '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' AS line FROM nation UNION ALL SELECT '| n_nationkey | n_name | n_regionkey |' UNION ALL SELECT '| ---: | --- | ---: |'")
 def _export_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, x) for i, x in enumerate(lines(load(spark, sf_dir, "nation"), "md"))], "i int, line string")
+    return spark.createDataFrame([(x.rstrip("\n"),) for x in lines(load(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "md")], "line string")
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+register("footer_files", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, (SELECT count(*) FROM duckdb_columns() WHERE table_name = '{t}') AS columns FROM {t}" for t in TABLES if t != "embeddings"))(
+    # a list is one leaf, but its path is longer
+    lambda s, d: footer.files(footer.column_chunks(s, d)).select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"), "rows", "columns").filter("name <> 'embeddings'")
+)
+register("footer_row_groups", "SELECT count(*) AS rows FROM lineitem")(lambda s, d: footer.row_groups(footer.column_chunks(s, f"{d}/lineitem.parquet")).agg(F.sum("rows").alias("rows")))
+register("footer_columns", " UNION ALL ".join(_facts(c, "lineitem") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")))(
+    lambda s, d: footer.columns(footer.column_chunks(s, f"{d}/lineitem.parquet")).filter("exact AND nulls_known").select("column", "min", "max", "nulls").filter(F.col("column").isin("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"))
+)
+register("footer_key_values", None)(lambda s, d: footer.key_values(footer.column_chunks(s, f"{d}/lineitem.parquet")))
 
 
-register("footer_files", None)(lambda s, d: footer.files(footer.column_chunks(s, d)))
-register("footer_row_groups", None)(lambda s, d: footer.row_groups(footer.column_chunks(s, f"{d}/lineitem.parquet")))
-register("footer_columns", None)(lambda s, d: footer.columns(footer.column_chunks(s, f"{d}/lineitem.parquet")))
-register("footer_key_values", None)(lambda s, d: footer.key_values(footer.column_chunks(s, f"{d}/lineitem.parquet")))
-register("plan_report", None)(lambda s, d: plan_report(footer.column_chunks(s, f"{d}/lineitem.parquet"), QuerySpec(("l_orderkey",), (Filter("l_quantity", ">", "60"),))))
+def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether footers exclude the table for clauses on each kind of column."""
+    chunks = footer.column_chunks(spark, f"{sf_dir}/lineitem.parquet")
+    out = None
+    for f in PLANNED:
+        kept = plan_report(chunks, QuerySpec(("l_orderkey",), (f,))).select(F.lit(f"{f.column} {f.op} {f.value}").alias("clause"), (F.col("kept") > 0).alias("kept"))
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
+PLANNED = (Filter("l_quantity", ">", "60"), Filter("l_quantity", "<", "1.5"), Filter("l_shipdate", "<", "1980-01-01"), Filter("l_shipdate", ">=", "1995-01-01"), Filter("l_returnflag", "=", "Z"), Filter("l_returnflag", ">=", "R"), Filter("l_orderkey", "<", "0"))
+register("plan_report", " UNION ALL ".join(f"SELECT '{f.column} {f.op} {f.value}' AS clause, count(*) FILTER (WHERE {f.column} {f.op} " + {"l_shipdate": "TIMESTAMP "}.get(f.column, "") + (f"'{f.value}'" if f.column in ("l_shipdate", "l_returnflag") else str(f.value)) + ") > 0 AS kept FROM lineitem" for f in PLANNED))(_plans)
+
+
+# folders and exports, written from the tables first
+def _folder(spark: SparkSession, parts: dict[str, DataFrame]) -> str:
+    """A new folder with a Parquet file for each name."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
+    root = f"{base}/folder-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, (name, df) in enumerate(parts.items()):
+        made = f"{base}/part-{uuid.uuid4().hex}"
+        df.coalesce(1).write.parquet(made)
+        to = path(f"{root}/{name}")
+        fs.mkdirs(to.getParent())
+        file = next(x.getPath() for x in fs.listStatus(path(made)) if x.getPath().getName().startswith("part-"))
+        fs.rename(file, to)
+        fs.delete(path(made), True)
+    return root
+
+
+ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+@register("folder_any_suffix", "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 4 <> 3 THEN o_totalprice END AS o_totalprice FROM orders")
+def _any_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested folders, any spelling of a suffix, a file that lacks a column."""
+    o = load(spark, sf_dir, "orders").select(*ORDERS)
+    names = ["a.parquet", "B.PQ", "sub/c.Parquet", "sub/deep/d.PARQ"]
+    parts = {n: o.filter(F.col("o_orderkey") % 4 == i) for i, n in enumerate(names)}
+    parts["sub/deep/d.PARQ"] = parts["sub/deep/d.PARQ"].drop("o_totalprice")
+    return open_table(spark, _folder(spark, parts)).df.select(*ORDERS)
+
+
+@register("folder_hive", "SELECT o_orderkey % 3 AS third, o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 4) AS total FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1, 2")
+def _hive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").select(*ORDERS)
+    statuses = [r[0] for r in o.select("o_orderstatus").distinct().collect()]  # a few
+    parts = {f"third={i}/status={v}/part.parquet": o.filter((F.col("o_orderkey") % 3 == i) & (F.col("o_orderstatus") == v)).drop("o_orderstatus") for i in range(3) for v in statuses}
+    df = open_table(spark, _folder(spark, parts)).df
+    return rounded(ask(df, "SELECT third, status, COUNT(*) AS n, SUM(o_totalprice) AS total FROM o WHERE third <> 1 GROUP BY third, status"))
+
+
+@register("folder_uneven_keys", "SELECT CASE WHEN o_orderkey % 3 <> 2 THEN o_orderkey % 3 END AS third, o_orderkey, o_custkey FROM orders")
+def _uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    names = ["third=0/a.parquet", "third=1/sub/b.parquet", "c.parquet"]
+    return open_table(spark, _folder(spark, {n: o.filter(F.col("o_orderkey") % 3 == i) for i, n in enumerate(names)})).df
+
+
+@register("stream_mergeable", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 4) AS total, round(stddev_samp(o_totalprice), 4) AS spread, max(o_orderkey) AS last FROM orders GROUP BY 1")
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mergeable metrics over files that arrive one a batch."""
+    import uuid
+
+    o = load(spark, sf_dir, "orders").select(*ORDERS)
+    root = _folder(spark, {f"{i}.parquet": o.filter(F.col("o_orderkey") % 3 == i) for i in range(3)})
+    q = QuerySpec(group_by=("o_orderstatus",), metrics=(Metric("COUNT_ALL", None, "n"), Metric("SUM", "o_totalprice", "total"), Metric("STD", "o_totalprice", "spread"), Metric("MAX", "o_orderkey", "last")))
+    name = f"stream_{uuid.uuid4().hex}"
+    running = running_aggregate(read_stream(spark, root, o.schema), q)
+    running.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}-state").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.table(name))
+
+
+for kind in ("csv", "tsv"):
+
+    @register(f"export_{kind}", "SELECT o_orderkey::VARCHAR AS o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'a\"b,' || chr(9) || o_orderstatus END AS note, o_totalprice::DECIMAL(18, 2)::VARCHAR AS price FROM orders")
+    def _export(spark: SparkSession, sf_dir: str, kind: str = kind) -> DataFrame:
+        """Written and read back as text."""
+        df = load(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit('a"b,\t'), "o_orderstatus")).alias("note"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+        path = _folder(spark, {"x.parquet": spark.range(1)}) + f"/{kind}"
+        export.write(df, path, kind)
+        return spark.read.option("header", True).option("sep", "\t" if kind == "tsv" else ",").option("escape", '"').option("quote", '"').csv(path)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
