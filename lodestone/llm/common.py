@@ -90,12 +90,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour of `a` points to the least of a's neighbourhood
         large = _with_least(both, low, hot).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # small star: smaller neighbours and `a` itself point to the least of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        between, down = _written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())  # keeps plans small
         least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = _with_least(down, least, hot).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         last = path
         path, e = _written(small)
         _forget(spark, last)
+        _forget(spark, between)
         now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before or not now[0]:
             break
