@@ -239,12 +239,12 @@ def _between(apart: DataFrame, percent: int, block: int) -> DataFrame:
     return sided.groupBy("grp", "i", "j").applyInArrow(_verify(percent), EDGE)
 
 
-def _entries(indexed: DataFrame) -> DataFrame:
-    """(key, c1, wide) of classes; a key counts where a class of it is wide."""
-    single = indexed.select("c1", F.explode("keys").alias("key"), F.lit(True).alias("wide"))
+def _entries(indexed: DataFrame, *carry: str) -> DataFrame:
+    """(key, c1, wide, carry) of classes; a key counts where a class of it is wide; carry: columns that depend on c1."""
+    single = indexed.select("c1", *carry, F.explode("keys").alias("key"), F.lit(True).alias("wide"))
     # frequent shingles alone link only where one side has too many of them for combinations
-    alone = indexed.select("c1", F.explode("alone").alias("key"), "wide")
-    return single.unionByName(alone).groupBy("key", "c1").agg(F.max("wide").alias("wide"))
+    alone = indexed.select("c1", *carry, F.explode("alone").alias("key"), "wide")
+    return single.unionByName(alone).groupBy("key", "c1", *carry).agg(F.max("wide").alias("wide"))
 
 
 def verified_components(classes: DataFrame, indexed: DataFrame, percent: int, block: int) -> DataFrame:
@@ -265,7 +265,8 @@ def verified_components(classes: DataFrame, indexed: DataFrame, percent: int, bl
     if not salt:
         return known
     labelled = materialise(several.join(known, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "tokens"))
-    entries = _entries(indexed.join(labelled.select(F.col("node").alias("c1")), "c1", "left_semi")).join(labelled.select(F.col("node").alias("c1"), "comp"), "c1")
+    # a class meets its component once, before its keys are listed
+    entries = _entries(indexed.join(labelled.select(F.col("node").alias("c1"), "comp"), "c1"), "comp")
     open_keys = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("wide").alias("wide")).filter("lo <> hi AND wide").select("key")
     apart = entries.join(open_keys, "key").select(F.col("key").alias("grp"), F.col("c1").alias("node")).join(labelled, "node")
     more = materialise(_between(materialise(apart), percent, block))
