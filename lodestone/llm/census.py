@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import lean, partitions
 
 CHUNK_BYTES = 6_000_000
 BUCKET_BYTES = 4_000_000
@@ -77,7 +77,7 @@ def _count(t: pa.Table) -> pa.Table:
 
 
 def count_documents(sent: DataFrame) -> DataFrame:
-    return sent.groupBy("bucket").applyInArrow(_count, SENT)
+    return sent.groupBy("bucket").applyInArrow(lean(_count), SENT)
 
 
 def read_replies(rows: dict[int, bytes], h: np.ndarray, buckets: int) -> np.ndarray:

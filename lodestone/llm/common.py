@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+LARGE_GROUP = 1_000_000  # bytes
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: workers outlive their tasks and would hold it through later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def lean(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """`f` of a group; after a large one no freed memory stays with the worker."""
+
+    def go(t: pa.Table) -> pa.Table:
+        out = f(t)
+        if t.nbytes > LARGE_GROUP:
+            give_back()
+        return out
+
+    return go
+
+
+def lean_pair(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """`lean` for cogroups."""
+
+    def go(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        if left.nbytes > LARGE_GROUP:
+            give_back()
+        return out
+
+    return go
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

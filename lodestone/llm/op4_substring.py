@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .census import MISSING, SENT, chunks, code, count_documents, read_replies, send, sent_table, texts_of
-from .common import materialise, table
+from .common import lean, lean_pair, materialise, table
 from .words import Words
 
 GRAM = 5
@@ -290,14 +290,14 @@ def substring_dedup(docs: DataFrame, k: int = 13) -> DataFrame:
     from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
     dealt, parts, buckets = chunks(docs)
-    replies = materialise(count_documents(dealt.groupBy("chunk").applyInArrow(_ask(k, buckets), SENT)).withColumn("kind", F.lit(0)))
+    replies = materialise(count_documents(dealt.groupBy("chunk").applyInArrow(lean(_ask(k, buckets)), SENT)).withColumn("kind", F.lit(0)))
     shards = max(4, buckets * 4_000_000 // SHARD_BYTES)
-    runs = dealt.groupBy("chunk").cogroup(replies.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(_send_runs(k, buckets, shards), RUNS)
-    masks = runs.groupBy("shard").applyInArrow(_stream(k), SENT).withColumn("kind", F.lit(1))
+    runs = dealt.groupBy("chunk").cogroup(replies.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(lean_pair(_send_runs(k, buckets, shards)), RUNS)
+    masks = runs.groupBy("shard").applyInArrow(lean(_stream(k)), SENT).withColumn("kind", F.lit(1))
     span = StructType([StructField("start", LongType()), StructField("words", LongType())])
     schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType()), StructField("spans", ArrayType(span))])
     both = replies.unionByName(masks).repartition(parts, "chunk")
-    return dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_cut(k, buckets, shards, to_arrow_schema(schema)), schema)
+    return dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(lean_pair(_cut(k, buckets, shards, to_arrow_schema(schema))), schema)
 
 
 def without_repeats(docs: DataFrame, k: int = 13) -> DataFrame:

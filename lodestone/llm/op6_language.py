@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 from .words import NOT_LETTERS, Words, mix
 
 SAMPLE = 400
@@ -241,6 +241,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = False, clear: bool = Fa
             while at < len(texts):
                 to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES)))
                 parts.append(label(texts[at:to]))
+                give_back()
                 at = to
             pred, score, runs, sure = ([x for p in parts for x in p[i]] for i in range(4))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())] + [pa.array(runs, _RUN)] * spans + [pa.array(sure, pa.float64())] * clear, schema=schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .census import MISSING, SENT, chunks, code, count_documents, read_replies, send, sent_table, texts_of
-from .common import WORD, components, free_name, materialise, table
+from .common import WORD, components, free_name, lean, lean_pair, materialise, table
 from .words import Words, mix
 
 FREQUENT = 100  # documents; shingles in more are indexed by combinations
@@ -214,7 +214,7 @@ def _inside(level: DataFrame, percent: int, block: int, salt: int) -> tuple[Data
     number = F.pmod(F.xxhash64("node", F.lit(salt)), F.coalesce("blocks", F.lit(1)))
     # dealt by block too: rows that a join left dealt by group would pass as grouped, with a whole group in one task
     dealt = placed.select("grp", F.coalesce("cell", F.lit(0)).alias("cell"), number.alias("block"), F.lit(False).alias("second"), "node", "n", "tokens").repartition("grp", "cell", "block")
-    return rows.filter("large").select(*level.columns), materialise(dealt.groupBy("grp", "cell", "block").applyInArrow(_verify(percent), EDGE))
+    return rows.filter("large").select(*level.columns), materialise(dealt.groupBy("grp", "cell", "block").applyInArrow(lean(_verify(percent)), EDGE))
 
 
 def _between(apart: DataFrame, percent: int, block: int) -> DataFrame:
@@ -236,7 +236,7 @@ def _between(apart: DataFrame, percent: int, block: int) -> DataFrame:
     rows = rows.withColumn("other_part", F.explode(F.expr("sequence(0, other_parts - 1)")))
     rows = rows.withColumn("mine", F.struct("own", "unit", "part")).withColumn("other", F.expr("named_struct('own', other_own, 'unit', other_unit, 'part', other_part)"))
     sided = rows.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "node", "n", "tokens").repartition("grp", "i", "j")
-    return sided.groupBy("grp", "i", "j").applyInArrow(_verify(percent), EDGE)
+    return sided.groupBy("grp", "i", "j").applyInArrow(lean(_verify(percent)), EDGE)
 
 
 def _entries(indexed: DataFrame, *carry: str) -> DataFrame:
@@ -281,8 +281,8 @@ def _hashes() -> list:
 def _joined(docs: DataFrame, n: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(rows with their set, c1 and c2; for each set its component `comp` and its first row: doc_id, h, g)."""
     dealt, parts, buckets = chunks(docs.select("doc_id", "text", *_hashes()))
-    replies = count_documents(dealt.groupBy("chunk").applyInArrow(_ask(n, buckets), SENT)).repartition(parts, "chunk")
-    found = materialise(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_index(n, buckets, percent), FOUND))
+    replies = count_documents(dealt.groupBy("chunk").applyInArrow(lean(_ask(n, buckets)), SENT)).repartition(parts, "chunk")
+    found = materialise(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lean_pair(_index(n, buckets, percent)), FOUND))
     indexed = found.filter("tokens IS NOT NULL")
     entries = _entries(indexed)
     pivots = entries.groupBy("key").agg(F.min("c1").alias("b"), F.count("*").alias("m"), F.max("wide").alias("wide")).filter("m > 1 AND wide").select("key", "b")

@@ -8,6 +8,8 @@ import re
 
 import numpy as np
 
+from .common import give_back
+
 SPECIAL = "<|endoftext|>"
 #: Characters whose classes no Unicode version has changed; other texts go through `tokenizers` itself.
 _STEADY = re.compile("[^\t\n\r -~¡-ɏ‐-―‘-‟…€]")
@@ -58,4 +60,5 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     made = Encoder(path)
     made.check()
+    give_back()  # what the file's text and the probes took
     return made
