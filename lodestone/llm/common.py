@@ -64,9 +64,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Spark's setting to remove a query's shuffle files when it ends, and not when the driver next collects garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _written(df: DataFrame) -> tuple[str, DataFrame]:
-    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, conf = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(_TIDY, None)
+    conf.set(_TIDY, "true")  # what was written needs its shuffles no more
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_TIDY) if before is None else conf.set(_TIDY, before)
     return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -52,3 +52,20 @@ def test_equal_hashes_of_unlike_forms_part(spark):
     rows = rows.select("doc_id", F.struct(F.col("x").alias("a"), F.col("x").alias("b")).alias("h"), "form", F.sha2("form", 256).alias("sha"))
     got = op10.digest_names(rows, op10.unlike_buckets(rows), {"fingerprint": ("h", "sha")}).collect()
     assert len({r.fingerprint for r in got}) == 3 and all(("-" in r.fingerprint) == (r.doc_id < 3) for r in got)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from lodestone.llm.common import materialise
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (found.apply(i).getName() for i in range(found.size())) if f.startswith("shuffle_")}
+
+    before = files()
+    made = materialise(spark.range(1000).groupBy((op10.F.col("id") % 7).alias("k")).count())
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and made.count() == 7
