@@ -339,8 +339,8 @@ def _export_md(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 register("footer_files", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, (SELECT count(*) FROM duckdb_columns() WHERE table_name = '{t}') AS columns FROM {t}" for t in TABLES if t != "embeddings"))(
-    # a list is one leaf, but its path is longer
-    lambda s, d: footer.files(footer.column_chunks(s, d)).select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"), "rows", "columns").filter("name <> 'embeddings'")
+    # a table is a file or a folder of files; a list is one leaf, but its path is longer
+    lambda s, d: footer.tables(footer.column_chunks(s, d), footer.listed_root(s, d)).filter(F.col("name").isin([f"{t}.parquet" for t in TABLES if t != "embeddings"])).select(F.regexp_replace("name", r"\.parquet$", "").alias("name"), "rows", "columns")
 )
 register("footer_row_groups", "SELECT count(*) AS rows FROM lineitem")(lambda s, d: footer.row_groups(footer.column_chunks(s, f"{d}/lineitem.parquet")).agg(F.sum("rows").alias("rows")))
 register("footer_columns", " UNION ALL ".join(_facts(c, "lineitem") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")))(

@@ -24,6 +24,12 @@ CHUNKS = (
 GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x[1:]) for x in SUFFIXES) + "}"
 
 
+def listed_root(spark: SparkSession, path: str) -> str:
+    """The path as listings spell it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length) of the Parquet files at or below a path; hidden files and others are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
@@ -150,6 +156,17 @@ def files(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("path").agg(F.first("file_bytes").alias("bytes"), F.first("file_rows").alias("rows"), F.count_distinct("row_group").alias("row_groups"), F.count_distinct("column").alias("columns"), F.first("created_by").alias("created_by"), F.first("problem").alias("problem"))
 
 
+def tables(chunks: DataFrame, root: str) -> DataFrame:
+    """One row for each file or folder directly below the root: a folder is one table of all files in it, and its columns are those of any of them.  `rows` and `columns` are NULL where a footer is unreadable."""
+    path = F.col("path")
+    below = F.when(path.startswith(root + "/"), F.substr(path, F.lit(len(root) + 2))).otherwise(F.element_at(F.split(path, "/"), -1))
+    each = chunks.groupBy(F.split_part(below, F.lit("/"), F.lit(1)).alias("name"), path).agg(F.first("file_bytes").alias("bytes"), F.first("file_rows").alias("rows"), F.first("problem").alias("problem"), F.array_sort(F.collect_set("column")).alias("names"))
+    known = F.count("problem") == 0
+    # files of a table mostly have the same columns, so that few sets of names meet
+    names = F.array_distinct(F.flatten(F.collect_set("names")))
+    return each.groupBy("name").agg(F.count("*").alias("files"), F.count("problem").alias("unreadable"), F.sum("bytes").alias("bytes"), F.when(known, F.sum("rows")).alias("rows"), F.when(known, F.size(names)).cast("bigint").alias("columns"))
+
+
 def row_groups(chunks: DataFrame) -> DataFrame:
     return chunks.filter("row_group IS NOT NULL").groupBy("path", "row_group").agg(F.first("group_rows").alias("rows"), F.first("group_bytes").alias("bytes"), F.sum("compressed").alias("compressed"))
 

@@ -78,12 +78,6 @@ def sniff_text(df: DataFrame) -> DataFrame:
 HIVE_NULL = "__HIVE_DEFAULT_PARTITION__"
 
 
-def _root(spark: SparkSession, path: str) -> str:
-    """The path as listings spell it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
-
-
 def hive_parts(path: Column, root: str) -> Column:
     """The `key=value` folders of a file below the root, as an array."""
     below = F.when(path.startswith(root + "/"), F.substr(path, F.lit(len(root) + 2))).otherwise(F.lit(""))
@@ -194,7 +188,7 @@ def open_table(spark: SparkSession, path: str, name: str | None = None, check: b
     kinds = kinds_of(chunks)
     if bad := conflicts(kinds):
         raise Refusal("schema conflict", "; ".join(f"column {c} is {a} in {fa} but {b} in {fb}" for c, fa, a, fb, b in bad))
-    root = _root(spark, path)
+    root = footer.listed_root(spark, path)
     layout = layout_of(chunks, root) if found.n > 1 or any("=" in r.path[len(root) :] for r in kinds) else Layout({}, True)
     if any(r.refused for r in kinds):
         return Table(sniff_text(read_with_arrow(spark, chunks, kinds, root, layout, columns, where)), base, skipped=skipped)

@@ -376,6 +376,20 @@ def test_footers_and_plan(spark, tmp_path):
     assert "GreaterThan(id,990)" in plan and "PushedFilters" in plan
 
 
+def test_footers_by_table(spark, tmp_path):
+    put(tmp_path / "one.parquet", a=[1, 2], b=[1, 2])
+    for i, n in enumerate(("many.parquet/part-0.parquet", "many.parquet/sub/deep/part-0.PARQ", "plain/part-0.parquet", "gaps.parquet/part-0.parquet")):
+        put(tmp_path / n, a=list(range(10 + i)), **{f"c{i}": list(range(10 + i))})
+    pq.write_table(pa.table({"a": pa.array([], pa.int64())}), tmp_path / "many.parquet/empty.parquet")
+    pq.write_table(pa.table({"a": range(7)}), tmp_path / "many.parquet/groups.parquet", row_group_size=2)
+    (tmp_path / "gaps.parquet/bad.parquet").write_bytes(b"not parquet at all")
+    got = {r.name: (r.files, r.unreadable, r.rows, r.columns) for r in footer.tables(footer.column_chunks(spark, str(tmp_path)), footer.listed_root(spark, str(tmp_path))).collect()}
+    assert got == {"one.parquet": (1, 0, 2, 2), "many.parquet": (4, 0, 28, 3), "plain": (1, 0, 12, 2), "gaps.parquet": (2, 1, None, None)}
+    # a root that is a file
+    one = footer.tables(footer.column_chunks(spark, str(tmp_path / "one.parquet")), footer.listed_root(spark, str(tmp_path / "one.parquet"))).first()
+    assert (one["name"], one.files, one.rows) == ("one.parquet", 1, 2)
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a,"b"\nc', 1.0, decimal.Decimal("2.50"), True, None, [1]), (2**60, None, NAN, None, None, dt.date(2024, 1, 2), None)], "n long, s string, x double, d decimal(9,2), b boolean, y date, l array<int>").coalesce(1)
     csv = "".join(export.lines(df, "csv"))
