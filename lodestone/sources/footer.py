@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +31,21 @@ def listed_root(spark: SparkSession, path: str) -> str:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of the Parquet files at or below a path; hidden files and others are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+def list_files(spark: SparkSession, path: str, tails: bool = False) -> DataFrame:
+    """(path, length) of the Parquet files at or below a path; hidden files and others are left out.  With `tails` the bytes of each footer as well, for which Spark reads whole files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", *([_tail().alias("tail")] if tails else []))
     name = F.element_at(F.split("path", "/"), -1)
     ends = F.lower(name).rlike("(" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$")
     return files.filter(ends & ~name.rlike(r"^[._]"))
 
 
+def _tail():
+    """The end of a file from its footer on: the last eight bytes are the footer's length, lowest byte first, and a mark."""
+    low = F.concat(*(F.hex(F.substring("content", i, 1)) for i in (-5, -6, -7, -8)))
+    n = F.conv(low, 16, 10).cast("bigint") + 8
+    return F.substr("content", -F.when(n <= F.col("length"), n).otherwise(8).cast("int"))
+
+
 def _signature(c) -> str:
     repeated = "repeated" if c.max_repetition_level else "single"
     kind = c.logical_type.type if c.logical_type else "NONE"
@@ -87,10 +95,27 @@ def _kind(c) -> str:
     return "number" if logical == "DECIMAL" or c.physical_type in ("INT32", "INT64") else "binary"
 
 
-def _open(path: str):
+def _place(path: str):
+    """Arrow's file system for a listed path, and the path in it."""
     import pyarrow.fs as fs
 
-    system, where = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:/") else "file://" + path[5:])
+    if re.match(r"(?!file:)[A-Za-z][\w+.-]*:/", path):
+        return fs.FileSystem.from_uri(path)
+    # a listing writes file:/x and escapes nothing
+    return fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+
+
+def arrow_opens(path: str) -> bool:
+    """Whether Arrow knows the store of a path; Spark's readers know more."""
+    try:
+        _place(path)
+    except (OSError, ValueError, NotImplementedError):  # no library for it, or no such kind of store
+        return False
+    return True
+
+
+def _open(path: str):
+    system, where = _place(path)
     return system.open_input_file(where)
 
 
@@ -111,12 +136,12 @@ def read_group(path: str, group: int, columns: list[str] | None = None) -> pa.Ta
         return file.read_row_group(group, columns=here)
 
 
-def read_footer(path: str, size: int) -> list[dict]:
+def read_footer(path: str, size: int, tail: bytes | None = None) -> list[dict]:
     import pyarrow.parquet as pq
 
     base = {"path": path, "file_bytes": size, "file_rows": None, "created_by": None, "key_values": None, "problem": None}
     try:
-        with _open(path) as f:
+        with _open(path) if tail is None else pa.BufferReader(tail) as f:
             m = pq.read_metadata(f)
     except Exception as e:  # an unreadable file is listed with its reason
         return [base | {"problem": str(e)[:200]}]
@@ -146,10 +171,10 @@ def column_chunks(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [r for p, n in zip(b["path"].to_pylist(), b["length"].to_pylist()) for r in read_footer(p, n)]
+            rows = [r for file in zip(*(c.to_pylist() for c in b.columns)) for r in read_footer(*file)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return list_files(spark, path).mapInArrow(run, CHUNKS)
+    return list_files(spark, path, tails=not arrow_opens(listed_root(spark, path))).mapInArrow(run, CHUNKS)
 
 
 def files(chunks: DataFrame) -> DataFrame:

@@ -390,6 +390,26 @@ def test_footers_by_table(spark, tmp_path):
     assert (one["name"], one.files, one.rows) == ("one.parquet", 1, 2)
 
 
+def test_footers_where_only_spark_reads(spark, tmp_path):
+    put(tmp_path / "a.parquet", id=list(range(50)), s=[f"s{i}" for i in range(50)])
+    put(tmp_path / "b.parquet/k=x%3Ay/part 0#?.parquet", id=[1], x=[0.5])
+    pq.write_table(pa.table({"id": list(range(1000))}), tmp_path / "b.parquet/groups.parquet", row_group_size=100)
+    for n, content in {"short": b"PAR1", "text": b"not parquet at all", "mark": b"PAR1" + b"\xff" * 8 + b"PAR1"}.items():
+        (tmp_path / f"{n}.parquet").write_bytes(content)
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.footers.link./in", f"file://{tmp_path}")
+
+    def read(path):
+        root = footer.listed_root(spark, path)
+        chunks = footer.column_chunks(spark, path)
+        listed = [r.asDict() | {"path": r.path[len(root) :], "problem": r.problem is None} for r in chunks.collect()]
+        return sorted(listed, key=repr), sorted(map(tuple, footer.tables(chunks, root).collect()))
+
+    here, there = read(str(tmp_path)), read("viewfs://footers/in")
+    assert here == there
+    assert [(n, rows) for n, _, _, _, rows, _ in there[1]] == [("a.parquet", 50), ("b.parquet", 1001), ("mark.parquet", None), ("short.parquet", None), ("text.parquet", None)]
+    assert open_table(spark, "viewfs://footers/in/b.parquet").df.agg(F.count("*"), F.count("x")).first()[:2] == (1001, 1)
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a,"b"\nc', 1.0, decimal.Decimal("2.50"), True, None, [1]), (2**60, None, NAN, None, None, dt.date(2024, 1, 2), None)], "n long, s string, x double, d decimal(9,2), b boolean, y date, l array<int>").coalesce(1)
     csv = "".join(export.lines(df, "csv"))
